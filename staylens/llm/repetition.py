@@ -52,11 +52,11 @@ def _again(parts: list[str]) -> float:
 
 
 FEATURES = ["n_words", "repeated_share", "sentence_share", "paragraph_share", "distinct_share", "packed_share"]
-#: Votes of the rules: feature, votes repetitive from here on, votes fine up to here (the other way round where the first is less), least words. Fixed values of this operator.
+#: The rules: feature, votes repetitive from here on, votes fine up to here (the other way round where the first is less; None: never, as few whole sentences or paragraphs repeat even in a text that goes in circles), least words. Fixed values of this operator.
 RULES = [
     ("repeated_share", 0.5, 0.25, 1),
-    ("sentence_share", 0.4, 0.05, 12),
-    ("paragraph_share", 0.4, 0.0, 40),
+    ("sentence_share", 0.4, None, 12),
+    ("paragraph_share", 0.4, None, 40),
     ("distinct_share", 0.35, 0.7, 20),
     ("packed_share", 0.25, 0.45, 40),
 ]
@@ -76,7 +76,7 @@ def _votes() -> list:
     votes = []
     for name, bad, good, least in RULES:
         c = F.col(name)
-        is_bad, is_good = (c >= bad, c <= good) if bad > good else (c <= bad, c >= good)
+        is_bad, is_good = (c >= bad, F.lit(False) if good is None else c <= good) if good is None or bad > good else (c <= bad, c >= good)
         votes.append(F.when(F.col("n_words") < least, 0).when(is_bad, 1).when(is_good, -1).otherwise(0))
     return votes
 

@@ -56,8 +56,11 @@ BLIND = 4
 
 
 def _ends(text: str, folder: str, name: str) -> list[int]:
-    """Ends of pre-tokens that hold whatever may follow the text."""
-    return [end for _, (_, end) in _splitter(folder, name).pre_tokenize_str(text) if end <= len(text) - BLIND]
+    """Ends of pre-tokens that hold whatever may follow the text.
+
+    None after white space: two pre-tokens of one run of it would be one where a piece ends.
+    """
+    return [end for _, (_, end) in _splitter(folder, name).pre_tokenize_str(text) if end <= len(text) - BLIND and not text[end - 1].isspace()]
 
 
 def encode_corpus(df: DataFrame, id_col: str, text_col: str, folder: str = TOKENIZERS, name: str = "byte_bpe_50k", chunk: int = 8192, overlap: int = 256) -> DataFrame:
