@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staylens.llm.canonical import canonical_text
 from staylens.llm.common import latest
 from staylens.llm.distinctive import term_weights
+from staylens.llm.gazetteer import map_values
 from staylens.llm.packing import pack
 from staylens.llm.rank_fusion import fuse, majority_leaders
 from staylens.llm.repetition import repetition
@@ -42,6 +44,32 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return majority_leaders(p1_ranking(spark, folder), "query_id", "source_hotel_id", len(SCORES))
 
 
+def _places(spark: SparkSession, folder: str) -> DataFrame:
+    return latest(_table(spark, folder, "places").select("_id", "location", "updated_at"), ["_id"], "updated_at")
+
+
+def p3_canonical(spark: SparkSession, folder: str) -> DataFrame:
+    """Every review text and latest location in its one form. Rows of an _id share their text."""
+    reviews = canonical_text(_table(spark, folder, "reviews"), "_id", "review_text").dropDuplicates(["_id"])
+    places = canonical_text(_places(spark, folder), "_id", "location").withColumnRenamed("location", "review_text")
+    return reviews.withColumn("tbl", F.lit("reviews")).unionByName(places.withColumn("tbl", F.lit("places"))).select("tbl", F.col("_id").alias("row_id"), F.col("review_text").alias("text"), "kinds")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    reviews = canonical_text(_table(spark, folder, "reviews"), "_id", "review_text", changed_only=True).select(F.lit("reviews").alias("tbl"), "_id").distinct()
+    places = canonical_text(_places(spark, folder), "_id", "location", changed_only=True).select(F.lit("places").alias("tbl"), "_id")
+    return reviews.unionByName(places).select("tbl", F.col("_id").alias("row_id"))
+
+
+def p7_mapping(spark: SparkSession, folder: str) -> DataFrame:
+    mapped = map_values(_places(spark, folder), "_id", "location", _table(spark, folder, "canon_locations"), "loc_id", "canonical", "aliases")
+    return mapped.withColumnRenamed("_id", "place_id")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_mapping(spark, folder).filter("not blank and not exact").select("place_id", "loc_id")
+
+
 def _runs(spark: SparkSession, folder: str) -> DataFrame:
     rows = _table(spark, folder, "runrow").select("query_id", "hotel_id", "score", "scored_at").filter("score is not null and not isnan(score)")
     return latest(rows, ["query_id", "hotel_id"], "scored_at")
@@ -85,7 +113,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_ranking, p5_found, p5_top, p6_found, p6_weights, p8_ids, p9_found, p9_containers, p10_found, p10_repetition)
+    f.__name__: f for f in (p1_found, p1_ranking, p3_found, p3_canonical, p5_found, p5_top, p6_found, p6_weights, p7_found, p7_mapping, p8_ids, p9_found, p9_containers, p10_found, p10_repetition)
 }
 
 _HITS = """
