@@ -73,10 +73,13 @@ def _bytes(text: str) -> bytes:
 
 def repaired(text: str) -> str:
     """A text whose UTF-8 bytes were read as Western European ones, read again; others as they are."""
-    if not re.search("[\u00c3\u00c4\u00c5\u00c6\u00e1][\x80-\xff\u0152-\u2122]", text):
-        return text
     text = unicodedata.normalize("NFC", text).strip()
-    for out in (text, re.sub("[\u200b-\u200f\u2060\ufeff]", "", text), re.sub("[\u200b-\u200f\u2060\ufeff\xad]", "", text)):
+    if not re.search("[ÃÄÅÆá][\x80-\xffŒ-™]", re.sub("[\u200b-\u200f\u2060\ufeff]", "", text)):
+        return text
+    seen = re.sub("[\u200b-\u200f\u2060\ufeff]", "", text)
+    spaced = re.sub("[\u2000-\u200a\u202f\u3000]", " ", seen)
+    # A soft hyphen or a fixed space may be a byte of a letter or not.
+    for out in (text, seen, spaced, spaced.replace("\xad", ""), spaced.replace("\xa0", " "), spaced.replace("\xad", "").replace("\xa0", " ")):
         try:
             return _bytes(out).decode("utf-8")
         except UnicodeError:
