@@ -37,7 +37,9 @@ _STYLED = "\U0001d400-\U0001d7ff"
 _ODD = re.compile(f"[{_INVISIBLE}{_SPACES}{_JOINED}{_WIDE}{_STYLED}]")
 _LOOK = re.compile(f"[{''.join(LOOKALIKES)}]")
 _LATIN = re.compile(r"[A-Za-zªºÀ-ÖØ-öø-ʸḀ-ỿⱠ-Ɀ]")
-_WORD = regex.compile(r"[\p{L}\p{M}]+")
+_WORD = re.compile("(?:[^\\W\\d_]|[\u0300-\u036f])+")
+#: Scripts with no letter that could pass for a Latin one.
+_FAR = re.compile("[\u0590-\u1dff\u2e80-\ud7ff\uf900-\ufaff\uff66-\uffdc]")
 #: What belongs to an emoji: joiners and selectors in their places, tags after a flag.
 _EMOJI = regex.compile(r"(?:\p{Emoji}\ufe0f?\u20e3|\p{Extended_Pictographic}[\ufe0e\ufe0f]?\p{EMod}?[\U000e0020-\U000e007f]*(?:\u200d\p{Extended_Pictographic}[\ufe0e\ufe0f]?\p{EMod}?)*|[#*0-9]\ufe0f)")
 _NAMES = ["accent", "width", "invisible", "space", "joined", "lookalike"]
@@ -103,17 +105,16 @@ def _plain_odd(text: str, kinds: set[str]) -> str:
 
 
 def _plain_words(text: str, kinds: set[str]) -> str:
-    found = _WORD.findall(text)
-    # A word of look-alikes alone is one only where no word of the text is surely in that alphabet.
-    foreign = any(not _LATIN.search(w) and any(c not in LOOKALIKES and not unicodedata.combining(c) for c in w) for w in found if not regex.fullmatch(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{M}]+", w))
-    latin = any(regex.search(r"[A-Za-zÀ-ɏḀ-ỿ]", w) for w in found)
+    @lru_cache(maxsize=1)
+    def unlike() -> bool:
+        """Whether some word is surely in another alphabet."""
+        words = [w for w in _WORD.findall(text) if not _FAR.search(w)]
+        return any(not _LATIN.search(w) and any(c not in LOOKALIKES and not unicodedata.combining(c) for c in w) for w in words)
 
     def plain(m: re.Match) -> str:
         word = m.group()
-        if not _LOOK.search(word):
-            return word
-        mixed = _LATIN.search(word)
-        if not mixed and (foreign or not latin):
+        # A word of look-alikes alone is one only where no word is surely in that alphabet.
+        if not _LOOK.search(word) or (not _LATIN.search(word) and unlike()):
             return word
         kinds.add("lookalike")
         return "".join(LOOKALIKES.get(c, c) for c in word)

@@ -11,6 +11,7 @@ from staylens.llm.canonical import canonical_text
 from staylens.llm.common import latest
 from staylens.llm.distinctive import term_weights
 from staylens.llm.gazetteer import map_values
+from staylens.llm.language import fit_model, label_meaning, languages
 from staylens.llm.packing import pack
 from staylens.llm.rank_fusion import fuse, majority_leaders
 from staylens.llm.repetition import repetition
@@ -44,6 +45,23 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return majority_leaders(p1_ranking(spark, folder), "query_id", "source_hotel_id", len(SCORES))
 
 
+def _languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of every review row, with what its label means as `label`."""
+    reviews, codes = _table(spark, folder, "reviews").withColumnRenamed("lang", "written"), _table(spark, folder, "lang_codes")
+    model = fit_model(reviews, "_id", "review_text", "written", codes)
+    return languages(label_meaning(reviews, "written", codes, "label"), "_id", "review_text", model, carry=["label"]).withColumnRenamed("_id", "review_id")
+
+
+def p2_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """One row a review: rows of an _id share text and label."""
+    return _languages(spark, folder).dropDuplicates(["review_id"])
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _languages(spark, folder).select("review_id", "label", F.explode(F.array_distinct("stretches.lang")).alias("lang"))
+    return rows.filter(F.col("lang").isNotNull() & ~F.col("lang").eqNullSafe(F.col("label"))).select("review_id", "lang").distinct()
+
+
 def _places(spark: SparkSession, folder: str) -> DataFrame:
     return latest(_table(spark, folder, "places").select("_id", "location", "updated_at"), ["_id"], "updated_at")
 
@@ -113,7 +131,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_ranking, p3_found, p3_canonical, p5_found, p5_top, p6_found, p6_weights, p7_found, p7_mapping, p8_ids, p9_found, p9_containers, p10_found, p10_repetition)
+    f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_languages, p3_found, p3_canonical, p5_found, p5_top, p6_found, p6_weights, p7_found, p7_mapping, p8_ids, p9_found, p9_containers, p10_found, p10_repetition)
 }
 
 _HITS = """
