@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +35,43 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one the session names in spark.checkpoint.dir. Only where none is set (tests,
     one machine) a temporary one is made.
     """
-    sc = df.sparkSession.sparkContext
+    _folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+class Kept:
+    """Tables of the rounds of one job, written to the shared checkpoint folder.
+
+    With a round's table read back from there, what the rounds before shuffled can be cleaned up,
+    and drop() deletes tables that are no longer needed, so that disk use doesn't grow with the
+    rounds. The last table stays for the caller; it goes with the checkpoint folder.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at, self.n = spark, f"{_folder(spark)}/staylens-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.at}/{self.n}"
+        df.write.parquet(path)
+        self.n += 1
+        jvm = self.spark.sparkContext._jvm
+        jvm.System.gc()  # lets the cleaner see which shuffles no plan holds any more
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *numbers: int) -> None:
+        """Delete the tables of these rounds."""
+        sc = self.spark.sparkContext
+        for number in numbers:
+            path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.at}/{number}")
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one is set where there is none."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "staylens-checkpoints"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def partitions(spark: SparkSession) -> int:

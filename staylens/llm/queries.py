@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staylens.llm.canonical import canonical_text
-from staylens.llm.common import latest
+from staylens.llm.common import cut, latest
 from staylens.llm.distinctive import term_weights
 from staylens.llm.gazetteer import map_values
 from staylens.llm.language import fit_model, label_meaning, languages
+from staylens.llm.neighbours import neighbour_graph, neighbour_pairs, search_graph
 from staylens.llm.packing import pack
 from staylens.llm.rank_fusion import fuse, majority_leaders
 from staylens.llm.repetition import repetition
@@ -88,6 +89,40 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_mapping(spark, folder).filter("not blank and not exact").select("place_id", "loc_id")
 
 
+#: Cosine from which a pair counts, and how far the graph's similarities can be off.
+ALIKE, MARGIN = 0.965, 0.004
+DIMENSIONS = 64
+
+
+def _graph(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbour_graph(_table(spark, folder, "vector_index"), "vec_id", "embeddings", DIMENSIONS)
+
+
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbour_pairs(_graph(spark, folder)).withColumnRenamed("id", "vec_id")
+
+
+def p4_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 50, found in the graph."""
+    graph = _graph(spark, folder)
+    return search_graph(graph, graph.filter("id % 50 = 0"), DIMENSIONS)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    lists = neighbour_pairs(_graph(spark, folder)).filter(F.col("similarity") >= ALIKE - MARGIN)
+    pairs = lists.select(F.least("id", "neighbour").alias("vec_id_a"), F.greatest("id", "neighbour").alias("vec_id_b"), "similarity")
+    pairs = cut(pairs.groupBy("vec_id_a", "vec_id_b").agg(F.max("similarity").alias("similarity")))
+    sure = pairs.filter(F.col("similarity") >= ALIKE + MARGIN)
+    near = pairs.filter(F.col("similarity") < ALIKE + MARGIN)
+    if not near.isEmpty():  # so near to the bound that the vectors themselves must tell
+        vectors = _table(spark, folder, "vector_index").select("vec_id", "embeddings").filter(F.size("embeddings") == DIMENSIONS).groupBy("vec_id").agg(F.max("embeddings").alias("v"))
+        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+        near = near.join(vectors.select(F.col("vec_id").alias("vec_id_a"), F.col("v").alias("a")), "vec_id_a").join(vectors.select(F.col("vec_id").alias("vec_id_b"), F.col("v").alias("b")), "vec_id_b")
+        near = near.filter(dot("a", "b") >= ALIKE * F.sqrt(dot("a", "a") * dot("b", "b")))
+        sure = sure.unionByName(near.select("vec_id_a", "vec_id_b", "similarity"))
+    return sure.select("vec_id_a", "vec_id_b")
+
+
 def _runs(spark: SparkSession, folder: str) -> DataFrame:
     rows = _table(spark, folder, "runrow").select("query_id", "hotel_id", "score", "scored_at").filter("score is not null and not isnan(score)")
     return latest(rows, ["query_id", "hotel_id"], "scored_at")
@@ -131,7 +166,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_languages, p3_found, p3_canonical, p5_found, p5_top, p6_found, p6_weights, p7_found, p7_mapping, p8_ids, p9_found, p9_containers, p10_found, p10_repetition)
+    f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_languages, p3_found, p3_canonical, p4_found, p4_neighbours, p4_search, p5_found, p5_top, p6_found, p6_weights, p7_found, p7_mapping, p8_ids, p9_found, p9_containers, p10_found, p10_repetition)
 }
 
 _HITS = """
@@ -183,6 +218,13 @@ fused AS (
   FROM ranks)
 SELECT q AS query_id, i AS source_hotel_id, rank_0, rank_1, rank_2, rank_3, fused,
   row_number() OVER (PARTITION BY q ORDER BY fused DESC, i) AS position FROM fused""",
+    "p4_found": """
+WITH v AS (
+  SELECT vec_id, any_value(embeddings)::double[64] AS e FROM vector_index
+  WHERE len(embeddings) = 64 AND len(list_filter(embeddings, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embeddings, lambda x: x <> 0)) > 0 GROUP BY 1)
+SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b FROM v a JOIN v b ON a.vec_id < b.vec_id
+WHERE array_cosine_similarity(a.e, b.e) >= 0.965""",
     "p5_found": _RUNS + "SELECT hotel_id, query_id FROM placed WHERE position <= 3",
     "p5_top": _RUNS + "SELECT hotel_id, query_id, score, position FROM placed WHERE position <= 3",
     "p6_found": _TERMS + "SELECT doc_id, field, term FROM tf JOIN stats USING (field, term) WHERE df BETWEEN 2 AND 4 AND (field = 'descriptor_tags' OR tf >= 2)",
