@@ -1,5 +1,9 @@
 """All queries of the core engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = None
+from __future__ import annotations
+
+from staylens.plans import search_queries, text_queries
+
+QUERIES = text_queries.QUERIES | search_queries.QUERIES
+ORACLE = text_queries.ORACLE | search_queries.ORACLE
+FLAGSHIP = search_queries.hybrid_search
