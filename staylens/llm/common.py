@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -52,10 +53,11 @@ class Kept:
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.at}/{self.n}"
+        # Lets the cleaner see, before more is written, which shuffles no plan holds any more.
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         df.write.parquet(path)
         self.n += 1
-        jvm = self.spark.sparkContext._jvm
-        jvm.System.gc()  # lets the cleaner see which shuffles no plan holds any more
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *numbers: int) -> None:
