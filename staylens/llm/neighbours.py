@@ -23,7 +23,7 @@ from staylens.llm.common import Kept, partitions, pick
 SAMPLE, LEAF, BLOCK = 100_000, 2048, 40_000
 #: Vertices that meet at a neighbour and are compared at once; more are taken in turns.
 MEETING = 64
-ROUNDS, DESCENTS, NEIGHBOURS, SENT = 4, 2, 10, 6
+ROUNDS, DESCENTS, NEIGHBOURS = 4, 4, 10
 _STATE = "id long, v binary, nb binary, ns binary"
 
 
@@ -182,16 +182,14 @@ def _descend(state: DataFrame, size: int, k: int, r: int, seed: int) -> DataFram
     n = partitions(state.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each vertex to some of its neighbours, with its worst similarity and a mark for each id it has."""
+        """Each vertex to its neighbours of this round's half, with its worst similarity and a mark for each id it has."""
         for batch in batches:
             ids, nb = batch.column("id").to_numpy(), _rows(batch.column("nb"), np.int64, k)
             worst = _rows(batch.column("ns"), np.float32, k)[:, -1]
-            rng = np.random.default_rng([seed, r, int(ids[0]) if len(ids) else 0])
             mark = np.bitwise_or.reduce(np.where(nb >= 0, np.uint64(1) << _mark(nb, r), np.uint64(0)), axis=1)
-            pickd = np.argsort(rng.random(nb.shape), axis=1)[:, : min(SENT, k)]
-            to = np.take_along_axis(nb, pickd, 1).ravel()
-            who = np.repeat(np.arange(len(ids)), pickd.shape[1])[to >= 0]
-            yield pa.RecordBatch.from_arrays([pa.array(to[to >= 0]), pa.array(ids[who]), batch.column("v").take(pa.array(who)), pa.array(worst[who]), pa.array(mark[who].view(np.int64))], names=["at", "id", "v", "worst", "mark"])
+            # Rounds take turns with the two halves of the places to meet, which halves what is under way at once.
+            who, place = np.nonzero((nb >= 0) & (_mark(nb, seed) % np.uint64(2) == r % 2))
+            yield pa.RecordBatch.from_arrays([pa.array(nb[who, place]), pa.array(ids[who]), batch.column("v").take(pa.array(who)), pa.array(worst[who]), pa.array(mark[who].view(np.int64))], names=["at", "id", "v", "worst", "mark"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
