@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from staylens.llm.common import pick
+from staylens.llm.common import cut, pick
 
 #: A Chinese or Japanese character, or a run of other letters, marks and digits.
 _WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}])[\p{L}\p{M}\p{N}])+")
@@ -123,7 +123,8 @@ def repetition(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(c, pa.int32() if k == "int" else pa.float64()) for c, k in zip(columns, kinds, strict=True)]], names=["id", *FEATURES])
 
     schema = T.StructType([rows.schema["id"], *[T.StructField(n, T.IntegerType() if k == "int" else T.DoubleType()) for n, k in zip(FEATURES, kinds, strict=True)]])
-    voted = rows.mapInArrow(features, schema).withColumn("votes", F.array(*_votes()))
+    # Kept, as the votes are counted before they are judged and the texts should be read once.
+    voted = cut(rows.mapInArrow(features, schema).withColumn("votes", F.array(*_votes())))
     counts = voted.groupBy("votes").count().collect()
     if not counts:
         return voted.withColumn("repetitive", F.lit(0.0)).withColumnRenamed("id", id_col)
