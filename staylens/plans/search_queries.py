@@ -1,5 +1,341 @@
 """Queries over indexes, rankings and their evaluation, each beside its SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-hybrid_search = None
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from staylens.functions import fixed, lexicon, text
+from staylens.operators import bm25, evaluation, search, store, understanding, vectors
+from staylens.plans import vocabulary
+from staylens.plans.sql import any_of, array, normalized, tokens_of
+from staylens.plans.text_queries import _PLACES, _places, _positive, table
+from staylens.streaming import ingest
+
+#: Searches ask for every row whose number is divisible by this, against all rows.
+EVERY = 50
+ALIASES, KEYWORDS = lexicon.aliases(vocabulary.LOCATIONS), lexicon.keywords(vocabulary.LOCATIONS)
+
+
+def _number():
+    """The number of a query's id, which is Q and a number."""
+    return F.substring("query_id", 2, 20).cast("long")
+
+
+def _asked(spark, folder):
+    return table(spark, folder, "queries").filter(_number() % EVERY == 0).select("query_id", text.tokens(F.col("query")).alias("tokens"))
+
+
+def _index(spark, folder) -> bm25.Index:
+    return bm25.build(table(spark, folder, "documents"), "doc_id", "tokens")
+
+
+def bm25_term_stats(spark, folder):
+    return _index(spark, folder).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def bm25_topk(spark, folder):
+    scores = bm25.score(_asked(spark, folder), _index(spark, folder)).withColumn("bm25", F.round("bm25", 6))
+    return bm25.top(scores, "query", "bm25", "doc", 10)
+
+
+def _weighted(spark, folder):
+    docs, places = table(spark, folder, "documents"), _places(spark, folder).select("_id", "types", "location")
+    rows = docs.join(places, docs["source_hotel_id"] == places["_id"], "left")
+    return rows.select("doc_id", bm25.weighted_tokens(F.col("hotel_name"), F.col("types"), F.col("location"), F.col("tokens"), F.col("category_tags"), F.col("descriptor_tags")).alias("tokens"))
+
+
+def field_weighted_bm25(spark, folder):
+    scores = bm25.score(_asked(spark, folder), bm25.build(_weighted(spark, folder), "doc_id", "tokens")).withColumn("bm25", F.round("bm25", 6))
+    return bm25.top(scores, "query", "bm25", "doc", 10)
+
+
+def bm25_group_rollup(spark, folder):
+    scores = bm25.max_normalise(bm25.score(_asked(spark, folder), _index(spark, folder)), "query", "bm25")
+    rows = scores.withColumn("bm25", F.round("bm25", 9)).withColumn("hybrid", F.col("bm25")).withColumn("vector", F.lit(0.0))
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "source_hotel_id", F.col("text").alias("review_text"), "category_tags")
+    rolled = search.roll_up(rows, docs, "source_hotel_id")
+    return rolled.select("query", "source_hotel_id", F.round("score", 6).alias("score"), F.round("bm25", 6).alias("best"), "first_doc", "reviews")
+
+
+def vector_topk(spark, folder):
+    rows = table(spark, folder, "vector_index").select("vec_id", "embeddings").filter(F.size("embeddings") == 64)
+    best = vectors.exact_top(rows, rows.filter(F.col("vec_id") % EVERY == 0).dropDuplicates(["vec_id"]), "vec_id", "embeddings", 10)
+    return best.select("query", "doc", F.round("score", 4).alias("score"))
+
+
+def _latest_results(spark, folder):
+    return store.latest(table(spark, folder, "results"), ["query_id", "source_hotel_id"], "logged_at")
+
+
+def hybrid_full_outer(spark, folder):
+    rows = _latest_results(spark, folder).select(F.col("query_id").alias("query"), F.col("source_hotel_id").alias("doc"), "vector_score", "bm25_score")
+    lexical = bm25.top(rows.withColumn("bm25", F.col("bm25_score")), "query", "bm25", "doc", 10)
+    dense = bm25.top(rows.withColumn("vector", F.col("vector_score")), "query", "vector", "doc", 10)
+    fused = search.fuse(lexical, dense)
+    return fused.select("query", "doc", *[F.round(c, 6).alias(c) for c in ("bm25", "vector", "hybrid")])
+
+
+def candidate_mask_fallback(spark, folder):
+    rows = _latest_results(spark, folder).select("query_id", "source_hotel_id", "location_matched", "descriptor_matched")
+    return search.mask_or_all(rows, "query_id", F.coalesce(F.col("location_matched") & F.col("descriptor_matched"), F.lit(False)))
+
+
+def infer_category(spark, folder):
+    none = F.lit("")
+    return table(spark, folder, "documents").select("doc_id", F.array_sort(search.document_categories(F.col("category_tags"), F.col("hotel_name"), none, F.col("text"))).alias("categories"))
+
+
+def infer_type(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", F.array_sort(search.lodging_types(F.lit(None).cast("array<string>"), F.col("hotel_name"), F.col("text"))).alias("types"))
+
+
+_WISHES = "CASE doc_id % 3 WHEN 0 THEN {a}('gia_đình') WHEN 1 THEN {a}('view', 'vịnh') ELSE {a}('yên_tĩnh', 'khách_sạn') END"
+
+
+def descriptor_support(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", search.descriptors_supported(F.expr(_WISHES.format(a="array")), F.array(F.coalesce("text", F.lit("")))).alias("supported"))
+
+
+def sentiment_penalty(spark, folder):
+    wishes = F.expr("CASE doc_id % 2 WHEN 0 THEN array('rộng_rãi') ELSE array('abc') END")
+    return table(spark, folder, "documents").select("doc_id", search.complaint_factor(F.array(F.coalesce("text", F.lit(""))), wishes, F.array().cast("array<string>")).alias("factor"))
+
+
+def type_boost(spark, folder):
+    rows = _latest_results(spark, folder).join(table(spark, folder, "queries"), "query_id")
+    kinds = search.lodging_types(F.lit(None).cast("array<string>"), F.col("hotel_name"), F.lit(""))
+    return rows.select("query_id", "source_hotel_id", search.type_factor(F.col("query"), kinds).alias("factor"))
+
+
+def _understood(spark, folder):
+    return understanding.understand(table(spark, folder, "queries"), "query", ALIASES, vocabulary.WISHES, vocabulary.SYNONYMS)
+
+
+def query_understanding(spark, folder):
+    return _understood(spark, folder).select("query_id", "core_tokens", "detected_location", "descriptor_tokens", "expanded_tokens", "detected_categories")
+
+
+def location_match(spark, folder):
+    rows = _places(spark, folder).select("_id", "location")
+    return rows.select("_id", *[F.coalesce(understanding.location_matches(F.lit(name), F.col("location"), KEYWORDS), F.lit(False)).alias(f"in_{i}") for i, name in enumerate(KEYWORDS)])
+
+
+def hybrid_search(spark, folder) -> DataFrame:
+    """Ranked hotels for the query set, lexical and dense: the whole way from queries to hits.
+
+    Dense vectors come from the encoder that needs no model, for reviews and queries alike.
+    """
+    asked = _understood(spark, folder).filter(_number() % EVERY == 0).withColumn("raw", F.col("query")).withColumn("query", F.col("query_id")).drop("query_id")
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "source_hotel_id", F.col("text").alias("review_text"), "category_tags", "tokens")
+    index = bm25.build(docs, "doc", "tokens")
+    coded = vectors.encode(docs.select(F.col("doc").cast("string").alias("id"), F.array_join(F.coalesce("tokens", F.array().cast("array<string>")), " ").alias("t")), "t")
+    asking = vectors.encode(asked.select(F.col("query").alias("id"), F.array_join("expanded_tokens", " ").alias("t")), "t")
+    dense = vectors.exact_top(coded, asking, "id", "embedding", 100).select("query", F.col("doc").cast("long").alias("doc"), F.col("score").alias("vector"))
+    hits = search.search(asked, index, dense, docs.drop("tokens"), _places(spark, folder), KEYWORDS)
+    return hits.select("query", "rank", "source_hotel_id", "hotel_name", "location", "rating", F.col("reviews").alias("review_count"), F.round("hybrid_score", 6).alias("hybrid_score"), F.round("vector", 6).alias("vector_score"), F.round("bm25", 6).alias("bm25_score"), "location_matched", "descriptor_matched", F.slice("texts", 1, 3).alias("top_reviews"))
+
+
+def _run(spark, folder):
+    rows = store.latest(table(spark, folder, "runrow").filter("score is not null and not isnan(score)").select("query_id", "hotel_id", "score", "scored_at"), ["query_id", "hotel_id"], "scored_at")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "hotel_id")
+    return rows.select(F.lit("run").alias("system"), F.col("query_id").alias("query"), F.col("hotel_id").alias("doc"), "score", F.row_number().over(order).alias("rank"))
+
+
+def _hybrid_run(spark, folder):
+    order = Window.partitionBy("query_id").orderBy(F.col("hybrid_score").desc(), "source_hotel_id")
+    rows = _latest_results(spark, folder).filter("hybrid_score is not null and not isnan(hybrid_score)")
+    return rows.select(F.lit("hybrid").alias("system"), F.col("query_id").alias("query"), F.col("source_hotel_id").alias("doc"), F.col("hybrid_score").alias("score"), F.row_number().over(order).alias("rank"))
+
+
+def _grades(spark, folder):
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("int")
+    return _latest_results(spark, folder).select(F.col("query_id").alias("query"), F.col("source_hotel_id").alias("doc"), (flag("location_matched") + flag("descriptor_matched")).alias("grade"))
+
+
+_VALUES = ["precision", "recall", "ap", "ap_k", "ndcg", "mrr", "strong_precision", "strong_recall"]
+
+
+def _metrics(spark, folder):
+    queries = table(spark, folder, "queries").select(F.col("query_id").alias("query"))
+    return evaluation.metrics(_run(spark, folder).unionByName(_hybrid_run(spark, folder)), _grades(spark, folder), queries)
+
+
+def metrics_by_query(spark, folder):
+    return _metrics(spark, folder).select("system", "query", *[F.round(v, 6).alias(v) for v in _VALUES])
+
+
+def _report(spark, folder):
+    buckets = table(spark, folder, "queries").select(F.col("query_id").alias("query"), F.col("bucket_id").alias("bucket"))
+    return evaluation.report(_metrics(spark, folder), buckets, _VALUES)
+
+
+def metrics_by_bucket(spark, folder):
+    return _report(spark, folder).select("bucket", "system", "queries", *[F.round(v, 6).alias(v) for v in _VALUES])
+
+
+def winners(spark, folder):
+    return evaluation.winners(_report(spark, folder).withColumn("ndcg", F.round("ndcg", 9)), "ndcg", {"hybrid": 0, "run": 1})
+
+
+def pool_union(spark, folder):
+    return evaluation.pool([("run", _run(spark, folder)), ("hybrid", _hybrid_run(spark, folder))])
+
+
+def qrels_union(spark, folder):
+    return evaluation.qrels(_grades(spark, folder), _run(spark, folder).filter("rank <= 10"))
+
+
+def run_file(spark, folder):
+    return evaluation.run_lines(_run(spark, folder).filter("rank <= 20"))
+
+
+def latency_p95(spark, folder):
+    out = evaluation.latency(table(spark, folder, "events"), ["event_type"], "value")
+    return out.select("event_type", "n", F.round("mean", 4).alias("mean"), "p95", "most")
+
+
+def rolling_500(spark, folder):
+    last = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-499, 0)
+    exact = F.sum(F.col("value").cast("decimal(18,4)")).over(last).cast("double")  # the same in any order
+    return table(spark, folder, "events").select("event_id", (exact / F.count("value").over(last)).alias("rolling"))
+
+
+_TYPES = {"resort": ["resort"], "khách sạn": ["khách sạn", "hotel"], "villa": ["villa"]}
+_AMENITIES = {"wifi": ["wifi"], "hồ bơi": ["hồ bơi", "pool"], "biển": ["biển", "bãi"]}
+
+
+def relevance_label(spark, folder):
+    hits = _latest_results(spark, folder).join(table(spark, folder, "queries"), "query_id").join(_hybrid_run(spark, folder).select(F.col("query").alias("query_id"), F.col("doc").alias("source_hotel_id"), "rank"), ["query_id", "source_hotel_id"])
+    places = {k.replace("_", " "): v for k, v in KEYWORDS.items()}
+    label = evaluation.label_by_rules(F.col("query"), F.col("hotel_name"), F.col("location"), F.col("location"), F.col("rank"), _TYPES, places, _AMENITIES)
+    return hits.select("query_id", "source_hotel_id", "rank", label.alias("relevant"))
+
+
+def stream_windows(spark, folder):
+    """Events read as a stream: repeated events go, values are summed by hour and kind."""
+    return ingest.windowed(spark, f"{folder}/events.parquet")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        bm25_term_stats, bm25_topk, field_weighted_bm25, bm25_group_rollup, vector_topk, hybrid_full_outer, candidate_mask_fallback, infer_category, infer_type, descriptor_support, sentiment_penalty, type_boost, query_understanding, location_match, hybrid_search,
+        metrics_by_query, metrics_by_bucket, winners, pool_union, qrels_union, run_file, latency_p95, rolling_500, relevance_label, stream_windows,
+    )
+}
+
+_ASKED = f"asked AS (SELECT query_id AS query, unnest({tokens_of('query')}) AS term FROM queries WHERE cast(query_id[2:] AS bigint) % {EVERY} = 0), qtf AS (SELECT query, term, count(*) AS qtf FROM asked GROUP BY 1, 2)"
+
+
+def _bm25(docs: str) -> str:
+    """SQL of index and scores over docs, a select of (doc, tokens)."""
+    return f"""{_ASKED}, docs AS ({docs}),
+held AS (SELECT doc, tokens, len(tokens) AS dl FROM docs WHERE len(tokens) > 0),
+postings AS (SELECT doc, dl, term, count(*) AS tf FROM (SELECT doc, dl, unnest(tokens) AS term FROM held) GROUP BY ALL),
+size AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM held),
+raw AS (SELECT term, count(*) AS df, any_value(n) AS n, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM postings, size GROUP BY term),
+terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+scores AS (
+  SELECT query, doc, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS bm25
+  FROM qtf JOIN terms USING (term) JOIN postings USING (term), size GROUP BY 1, 2)"""
+
+
+_DOCS = "SELECT doc_id AS doc, tokens FROM documents"
+_TOP = "SELECT query, doc, bm25, cast(row_number() OVER (PARTITION BY query ORDER BY bm25 DESC, doc) AS int) AS rank FROM (SELECT query, doc, round(bm25, 6) AS bm25 FROM scores) WHERE bm25 > 0 QUALIFY rank <= 10"
+_FIELDS = f"""SELECT doc_id AS doc, list_concat(n, n, n, t, t, l, l, coalesce(tokens, []), c, c, d, d) AS tokens FROM (
+  SELECT doc_id, tokens, {_positive("CASE WHEN trim(coalesce(documents.hotel_name, '')) <> '' THEN [lower(trim(documents.hotel_name))] ELSE [] END")} AS n, {_positive('types')} AS t,
+    list_filter(regexp_split_to_array(lower(coalesce(location, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> '') AS l, {_positive('category_tags')} AS c, {_positive('descriptor_tags')} AS d
+  FROM documents LEFT JOIN pl ON source_hotel_id = pl._id)"""
+_RESULTS = "res AS (SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY query_id, source_hotel_id ORDER BY logged_at DESC) = 1)"
+_GRADES = "grades AS (SELECT query_id AS query, source_hotel_id AS doc, coalesce(location_matched, false)::int + coalesce(descriptor_matched, false)::int AS grade FROM res)"
+_RUN = "run AS (SELECT 'run' AS system, query_id AS query, hotel_id AS doc, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hotel_id) AS rank FROM (SELECT query_id, hotel_id, score FROM runrow WHERE score IS NOT NULL AND NOT isnan(score) QUALIFY row_number() OVER (PARTITION BY query_id, hotel_id ORDER BY scored_at DESC, score DESC) = 1))"
+_HYBRID = "hyb AS (SELECT 'hybrid' AS system, query_id AS query, source_hotel_id AS doc, hybrid_score AS score, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, source_hotel_id) AS rank FROM res WHERE hybrid_score IS NOT NULL AND NOT isnan(hybrid_score))"
+_METRICS = f"""{_RESULTS}, {_GRADES}, {_RUN}, {_HYBRID},
+graded AS (SELECT * FROM grades WHERE grade > 0),
+ideal AS (SELECT query, sum(grade / log2(n + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC) AS n FROM graded) WHERE n <= 10 GROUP BY 1),
+rel AS (SELECT query, count(*) AS relevant, count(*) FILTER (grade >= 2) AS strong FROM graded GROUP BY 1),
+both_ AS (SELECT * FROM run UNION ALL SELECT * FROM hyb),
+hits AS (SELECT b.*, coalesce(g.grade, 0) AS grade FROM both_ b LEFT JOIN graded g USING (query, doc) WHERE rank <= 10),
+far AS (SELECT *, sum((grade > 0)::int) OVER (PARTITION BY system, query ORDER BY rank ROWS UNBOUNDED PRECEDING) AS so_far FROM hits),
+found AS (SELECT system, query, count(*) FILTER (grade > 0) AS hits, sum(CASE WHEN grade > 0 THEN so_far / rank ELSE 0 END) AS gain, sum(grade / log2(rank + 1)) AS dcg, min(rank) FILTER (grade > 0) AS first, count(*) FILTER (grade >= 2) AS sh FROM far GROUP BY 1, 2),
+by_query AS (
+  SELECT system, q.query_id AS query, coalesce(hits, 0) / 10.0 AS precision, coalesce(hits / nullif(relevant, 0), 0) AS recall, coalesce(gain / nullif(relevant, 0), 0) AS ap, coalesce(gain, 0) / 10 AS ap_k,
+    coalesce(dcg / nullif(idcg, 0), 0) AS ndcg, coalesce(1.0 / first, 0) AS mrr, coalesce(sh, 0) / 10.0 AS strong_precision, coalesce(sh / nullif(strong, 0), 0) AS strong_recall
+  FROM (SELECT DISTINCT query_id FROM queries) q CROSS JOIN (SELECT unnest(['run', 'hybrid']) AS system) s
+  LEFT JOIN found f ON f.query = q.query_id AND f.system = s.system LEFT JOIN rel ON rel.query = q.query_id LEFT JOIN ideal ON ideal.query = q.query_id)""".replace("SELECT system, q.query_id", "SELECT s.system, q.query_id")
+_REPORT = f"WITH {_METRICS}, means AS (SELECT bucket_id AS bucket, system, count(*) AS queries, {', '.join(f'avg({v}) AS {v}' for v in _VALUES)} FROM by_query JOIN queries ON query_id = by_query.query GROUP BY GROUPING SETS ((bucket_id, system), (system)))"
+
+
+def _points(groups: dict, name: int, textual: int, first: str, second: str) -> str:
+    a, b, x, y = (first, second, name, textual)
+    return " + ".join(f"CASE WHEN contains(lower(query), '{k}') AND {any_of(a, words)} THEN {x} WHEN contains(lower(query), '{k}') AND {any_of(b, words)} THEN {y} ELSE 0 END" for k, words in groups.items())
+
+
+_N, _T = "lower(coalesce(hotel_name, ''))", "lower(coalesce(location, ''))"
+_LABEL = " + ".join([_points(_TYPES, 3, 1, _N, _T), _points({k.replace("_", " "): v for k, v in KEYWORDS.items()}, 3, 1, _N, _T), _points(_AMENITIES, 2, 1, _T, _N)])
+_ORDERED = "list_transform(list_filter(list_zip({0}, range(1, len({0}) + 1)), lambda x: list_position({0}, x[1]) = x[2]), lambda x: x[1])"
+_OVERLAP = "len(list_intersect({}, {})) > 0"
+_FORMS = "flatten(list_transform({}, lambda x: list_concat([x], string_split(x, '_'))))"
+_ALIAS = "alias(form, place) AS (VALUES " + ", ".join(f"('{f}', '{p}')" for f, p in ALIASES.items()) + ")"
+_CATS = ", ".join(f"CASE WHEN {_OVERLAP.format('a', array(words))} THEN '{name}' END" for name, words in fixed.CATEGORY_TOKENS.items())
+_SYN = " ".join(f"WHEN x = '{w}' THEN {array(o)}" for w, o in vocabulary.SYNONYMS.items())
+_SPOKEN = ", ".join(f"CASE WHEN contains(lower(concat_ws(' ', coalesce(hotel_name, ''), coalesce({{}}, ''))), '{w}') THEN '{k}' END" for w, k in fixed.TEXT_LODGING.items())
+_LODGING = " ".join(f"WHEN {any_of('lower(query)', words)} THEN '{kind}'" for kind, words in fixed.LODGING.items())
+_HINTED = ", ".join(f"CASE WHEN {any_of('low', hints)} THEN '{kind}' END" for kind, hints in fixed.CATEGORY_HINTS.items())
+_VIEW = " OR ".join(f"contains(low, '{p.format('vịnh')}')" for p in fixed.VIEW_PHRASES)
+
+
+def _count(phrases) -> str:
+    return " + ".join(f"contains(low, '{p}')::int" for p in phrases)
+
+
+ORACLE = {
+    "bm25_term_stats": f"WITH {_bm25(_DOCS)} SELECT term, df, round(idf, 6) AS idf FROM terms",
+    "bm25_topk": f"WITH {_bm25(_DOCS)} {_TOP}",
+    "field_weighted_bm25": f"WITH {_PLACES}, {_bm25(_FIELDS)} {_TOP}",
+    "bm25_group_rollup": f"""WITH {_bm25(_DOCS)},
+norm AS (SELECT query, doc, round(bm25 / max(bm25) OVER (PARTITION BY query), 9) AS s FROM scores),
+j AS (SELECT query, doc, s, source_hotel_id, row_number() OVER (PARTITION BY query, source_hotel_id ORDER BY s DESC, doc) AS n FROM norm JOIN documents ON doc = doc_id)
+SELECT query, source_hotel_id, round(sum(s) FILTER (n <= 5), 6) AS score, round(max(s), 6) AS best, arg_min(doc, n) AS first_doc, count(*) AS reviews FROM j WHERE source_hotel_id IS NOT NULL GROUP BY 1, 2""",
+    "vector_topk": f"""WITH v AS (SELECT vec_id, any_value(embeddings)::double[] AS e FROM vector_index WHERE len(embeddings) = 64 AND len(list_filter(embeddings, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY 1),
+s AS (SELECT a.vec_id AS query, b.vec_id AS doc, list_dot_product(a.e, b.e) AS s FROM v a, v b WHERE a.vec_id % {EVERY} = 0 AND a.vec_id <> b.vec_id)
+SELECT query, doc, round(s::double, 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, doc) <= 10""",
+    "hybrid_full_outer": f"""WITH {_RESULTS},
+a AS (SELECT query_id AS query, source_hotel_id AS doc, bm25_score AS x FROM res WHERE bm25_score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, source_hotel_id) <= 10),
+b AS (SELECT query_id AS query, source_hotel_id AS doc, vector_score AS x FROM res WHERE vector_score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC, source_hotel_id) <= 10),
+an AS (SELECT query, doc, x / max(x) OVER (PARTITION BY query) AS x FROM a), bn AS (SELECT query, doc, x / max(x) OVER (PARTITION BY query) AS x FROM b),
+f AS (SELECT query, doc, coalesce(an.x, 0) AS bm25, coalesce(bn.x, 0) AS vector FROM an FULL JOIN bn USING (query, doc))
+SELECT query, doc, round(bm25, 6) AS bm25, round(vector, 6) AS vector, round(0.6 * vector + 0.4 * bm25, 6) AS hybrid FROM f WHERE 0.6 * vector + 0.4 * bm25 > 0""",
+    "candidate_mask_fallback": f"WITH {_RESULTS}, m AS (SELECT *, coalesce(location_matched AND descriptor_matched, false) AS ok FROM res) SELECT query_id, source_hotel_id, location_matched, descriptor_matched FROM m QUALIFY ok OR NOT bool_or(ok) OVER (PARTITION BY query_id)",
+    "infer_category": f"""WITH d AS (SELECT doc_id, list_distinct(list_filter(list_transform(coalesce(category_tags, []), lambda t: lower(trim(t))), lambda t: t <> '' AND NOT starts_with(t, '!'))) AS own, lower(concat_ws(' ', coalesce(hotel_name, ''), '', coalesce(text, ''))) AS low FROM documents)
+SELECT doc_id, list_sort(CASE WHEN len(own) > 0 THEN own ELSE list_filter([{_HINTED}], lambda x: x IS NOT NULL) END) AS categories FROM d""",
+    "infer_type": f"SELECT doc_id, list_sort(list_filter([{_SPOKEN.replace('{}', 'text')}], lambda x: x IS NOT NULL)) AS types FROM documents",
+    "descriptor_support": f"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents)
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN {any_of('low', fixed.CATEGORY_HINTS['family'])} WHEN 1 THEN ({_VIEW}) AND contains(low, 'vịnh') ELSE {any_of('low', fixed.CATEGORY_HINTS['quiet'])} END AS supported FROM d""",
+    "sentiment_penalty": f"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents), c AS (SELECT doc_id, doc_id % 2 = 0 AS conflict, {_count(fixed.STRONG_COMPLAINTS)} AS strong, {_count(fixed.MILD_COMPLAINTS)} AS mild FROM d)
+SELECT doc_id, CASE WHEN strong >= 2 THEN if(conflict, 0.6, 0.7) WHEN strong = 1 AND mild >= 1 THEN if(conflict, 0.75, 0.8) WHEN strong = 1 THEN if(conflict, 0.8, 0.85) ELSE 1.0 END::double AS factor FROM c""",
+    "type_boost": f"""WITH {_RESULTS}, r AS (SELECT query_id, source_hotel_id, CASE {_LODGING} END AS asked, [{_SPOKEN.replace('{}', "''")}] AS kinds FROM res JOIN queries USING (query_id))
+SELECT query_id, source_hotel_id, CASE WHEN asked IS NULL THEN 1.0 WHEN list_contains(kinds, asked) THEN 1.2 ELSE 0.85 END::double AS factor FROM r""",
+    "query_understanding": f"""WITH {_ALIAS},
+t AS (SELECT query_id, list_filter({tokens_of(normalized("coalesce(query, '')"))}, lambda x: NOT list_contains({array(fixed.STOPWORDS + fixed.QUERY_STOPWORDS)}, x)) AS t FROM queries),
+g AS (SELECT query_id, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM t, (SELECT unnest([1, 2, 3]) AS n)),
+h AS (SELECT query_id, arg_min({{'p': place, 'r': t[i:i + n - 1]}}, i - 1000 * n) AS h FROM g JOIN alias ON form = array_to_string(t[i:i + n - 1], '_') GROUP BY 1),
+c AS (SELECT query_id, h.p AS place, CASE WHEN h IS NULL THEN t ELSE list_filter(t, lambda x: NOT list_contains(h.r, x)) END AS core FROM t LEFT JOIN h USING (query_id)),
+e AS (SELECT *, list_concat(flatten(list_transform(core, lambda x: CASE {_SYN} ELSE [x] END)), CASE WHEN place IS NULL THEN [] ELSE [place] END) AS ex FROM c),
+u AS (SELECT *, {_ORDERED.format('ex')} AS expanded FROM e),
+w AS (SELECT *, {_FORMS.format('list_concat(core, expanded)')} AS a FROM u)
+SELECT query_id, core AS core_tokens, place AS detected_location, list_filter(core, lambda x: len(list_intersect(list_concat([x], string_split(x, '_')), {array(vocabulary.WISHES)})) > 0) AS descriptor_tokens,
+  expanded AS expanded_tokens, list_filter([{_CATS}], lambda x: x IS NOT NULL) AS detected_categories FROM w""",
+    "location_match": f"WITH {_PLACES} SELECT _id, {', '.join(any_of("lower(coalesce(location, ''))", words) + f' AS in_{i}' for i, words in enumerate(KEYWORDS.values()))} FROM pl",
+    "metrics_by_query": f"WITH {_METRICS} SELECT system, query, {', '.join(f'round({v}, 6) AS {v}' for v in _VALUES)} FROM by_query",
+    "metrics_by_bucket": f"{_REPORT} SELECT bucket, system, queries, {', '.join(f'round({v}, 6) AS {v}' for v in _VALUES)} FROM means",
+    "winners": f"{_REPORT} SELECT bucket, arg_max(system, round(ndcg, 9) - CASE system WHEN 'run' THEN 1e-10 ELSE 0 END) AS winner FROM means GROUP BY 1",
+    "pool_union": f"WITH {_RESULTS}, {_RUN}, {_HYBRID} SELECT query, doc, cast(run.rank AS int) AS run_rank, cast(hyb.rank AS int) AS hybrid_rank FROM (SELECT * FROM run WHERE rank <= 10) run FULL JOIN (SELECT * FROM hyb WHERE rank <= 10) hyb USING (query, doc)",
+    "qrels_union": f"WITH {_RESULTS}, {_GRADES}, {_RUN} SELECT query, doc, coalesce(grade, 0) AS grade FROM grades FULL JOIN (SELECT DISTINCT query, doc FROM run WHERE rank <= 10) USING (query, doc)",
+    "run_file": f"WITH {_RUN} SELECT cast(query[2:] AS bigint) AS number, rank, concat_ws(chr(9), query, rank, doc, printf('%.6f', score)) AS line FROM run WHERE rank <= 20",
+    "latency_p95": "WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, n, round(avg(value), 4) AS mean, min(value) FILTER (i = floor(0.95 * (n - 1))) AS p95, max(value) AS most FROM o GROUP BY 1, 2",
+    "rolling_500": "SELECT event_id, cast(sum(cast(value AS decimal(18,4))) OVER w AS double) / count(value) OVER w AS rolling FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW)",
+    "relevance_label": f"WITH {_RESULTS}, {_HYBRID}, j AS (SELECT query_id, source_hotel_id, hotel_name, location, queries.query AS query, hyb.rank AS rank FROM res JOIN queries USING (query_id) JOIN hyb ON hyb.query = query_id AND doc = source_hotel_id) SELECT query_id, source_hotel_id, rank, CASE WHEN {_LABEL} + CASE WHEN rank <= 3 THEN 2 WHEN rank <= 5 THEN 1 ELSE 0 END + CASE WHEN len(list_distinct(list_filter(string_split_regex(lower(query), ' +'), lambda t: t <> ''))) <= 3 THEN 1 ELSE 0 END >= 2 THEN 1 ELSE 0 END AS relevant FROM j",
+    "stream_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS events, round(sum(value), 4) AS total FROM (SELECT DISTINCT event_id, ts, event_type, value FROM events) GROUP BY 1, 2",
+}

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import functools
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "staylens", master: str | None = None, **conf: str) -> SparkSession:
@@ -18,3 +25,38 @@ def session(app: str = "staylens", master: str | None = None, **conf: str) -> Sp
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     return builder.config(map=defaults | conf).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session: they needn't have it installed."""
+    sc, root = spark.sparkContext, Path(__file__).parent
+    if getattr(sc, "_staylens_shipped", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(), "staylens.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, str(Path(root.name) / file.relative_to(root)))
+    sc.addPyFile(path)
+    sc._staylens_shipped = True
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that first sees to it that the executors have this package."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return query(spark, folder)
+
+    return run
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from its rows in the session's shared checkpoint folder on: later steps neither plan nor run what led to it again.
+
+    The folder is the one in spark.checkpoint.dir; only where none is set a temporary one is made.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "staylens-checkpoints"))
+    return df.checkpoint(eager=True)
