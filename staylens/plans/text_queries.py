@@ -325,6 +325,6 @@ p AS (SELECT g, doc_id, unnest(ss) AS sentence, unnest(range(len(ss))) AS n FROM
 once AS (SELECT g, sentence, count(*) AS copies, min({{'d': doc_id, 'n': n}}) AS first FROM p GROUP BY 1, 2),
 w AS (SELECT g, sentence, copies, first, unnest(list_filter(regexp_extract_all(lower(sentence), '[a-zA-ZÀ-ỹđ_]+'), lambda x: length(x) >= 3)) AS word FROM once),
 o AS (SELECT g, word, sum(copies) AS often FROM w GROUP BY 1, 2),
-sc AS (SELECT w.g, sentence, first, cast(sum(often) AS bigint) AS score FROM w JOIN o ON w.word = o.word AND w.g IS NOT DISTINCT FROM o.g GROUP BY 1, 2, 3)
+sc AS (SELECT once.g, once.sentence, once.first, cast(coalesce(sum(often), 0) AS bigint) AS score FROM once LEFT JOIN w ON once.sentence = w.sentence AND once.g = w.g LEFT JOIN o ON w.word = o.word AND w.g = o.g GROUP BY 1, 2, 3)
 SELECT g AS source_hotel_id, cast(row_number() OVER (PARTITION BY g ORDER BY score DESC, first) AS int) AS place, sentence, score FROM sc WHERE g IS NOT NULL QUALIFY place <= 3""",
 }
