@@ -30,7 +30,8 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def _hits(spark: SparkSession, folder: str) -> DataFrame:
     """The latest row of each query and hotel with its scores and its hotel's mean rating."""
     hits = latest(_table(spark, folder, "results").select("query_id", "source_hotel_id", "logged_at", *SCORES[:3]), ["query_id", "source_hotel_id"], "logged_at")
-    value = F.try_to_number(F.regexp_replace(F.trim("review_rating"), ",", "."), F.lit("999999D9999"))
+    written = F.regexp_replace(F.trim("review_rating"), ",", ".")
+    value = F.when(written.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), written.try_cast("decimal(12,5)"))
     value = F.when(value > 5, value / 2).otherwise(value).cast("decimal(12,5)")
     # Exact sums, so that equal means are equal whatever the order of the rows.
     ratings = _table(spark, folder, "documents").select("source_hotel_id", value.alias("v")).filter("v is not null")
