@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from staylens.functions import fixed
 from staylens.functions.text import contains_any, squeeze, strip
@@ -100,3 +104,36 @@ PAYLOAD = "struct<data:struct<reviews:array<struct<reviewId:string,reviewOrigina
 def payload_reviews(payload: Column) -> Column:
     """The reviews of a captured answer, as an array; null if it can't be read."""
     return F.from_json(payload, PAYLOAD)["data"]["reviews"]
+
+_NAME_KEYS = ["hotelName", "name", "displayName", "title", "label"]
+
+
+_TARGETS = T.ArrayType(T.StructType([T.StructField("url", T.StringType()), T.StructField("name", T.StringType())]))
+
+
+@F.pandas_udf(_TARGETS)
+def json_targets(payloads: pd.Series) -> pd.Series:
+    """The hotels that a JSON text names at any depth: each url under hotelSeoUrl once, with the name beside it or nearest above.
+
+    The depth is unknown, which no built-in function walks; it is done without recursion, in batches.
+    """
+
+    def walk(text: str | None) -> list[dict]:
+        try:
+            todo = [(json.loads(text), "")] if text else []
+        except ValueError:
+            return []
+        found: dict[str, str] = {}
+        while todo:
+            node, above = todo.pop()
+            if isinstance(node, dict):
+                name = next((str(node[k]) for k in _NAME_KEYS if isinstance(node.get(k), str) and node[k].strip()), above)
+                url = node.get("hotelSeoUrl")
+                if isinstance(url, str) and url.strip():
+                    found.setdefault(url.strip(), name)
+                todo += [(v, name) for v in reversed(list(node.values()))]
+            elif isinstance(node, list):
+                todo += [(v, above) for v in reversed(node)]
+        return [{"url": u, "name": n} for u, n in found.items()]
+
+    return payloads.map(walk)

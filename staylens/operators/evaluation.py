@@ -105,3 +105,54 @@ def label_by_rules(query: Column, name: Column, location: Column, reviews: Colum
     points = points + F.when(rank <= 3, 2).when(rank <= 5, 1).otherwise(0)
     points = points + F.when(F.size(F.array_distinct(F.filter(F.split(q, " +"), lambda t: t != ""))) <= 3, 1).otherwise(0)
     return F.when(points >= 2, 1).otherwise(0)
+
+
+def label_by_points(query: Column, name: Column, location: Column, reviews: Column, places: dict[str, list[str]], types: dict[str, list[str]], wishes: dict[str, list[str]], denied: dict[str, list[str]] | None = None, missing: dict[str, list[str]] | None = None) -> Column:
+    """Heuristic relevance by points, 1 from one point on. `reviews` is an array of texts.
+
+    The first place whose words the query has gives 2 if name or location has one, else 1 if a
+    review does; each kind that the query and the name have gives 1, each wish 1 for the name or
+    half for a review. A wish in `denied` loses 1 if a review has one of its words, one in
+    `missing` half if neither name nor reviews have one. A query of more than ten words that
+    shares two with the name gets 1 more.
+    """
+    from staylens.functions.text import contains_any
+
+    q, n, at = (F.lower(F.coalesce(c, F.lit(""))) for c in (query, name, location))
+    low = F.transform(F.coalesce(reviews, F.array().cast("array<string>")), lambda r: F.lower(F.coalesce(r, F.lit(""))))
+    said = lambda words: F.exists(low, lambda r: contains_any(r, words))
+    place = F.coalesce(*[F.when(contains_any(q, words), F.when(contains_any(at, words) | contains_any(n, words), 2.0).when(said(words), 1.0).otherwise(0.0)) for words in places.values()], F.lit(0.0))
+    points = place
+    for words in types.values():
+        points = points + F.when(contains_any(q, words) & contains_any(n, words), 1.0).otherwise(0.0)
+    for wish, words in wishes.items():
+        asked = contains_any(q, words)
+        points = points + F.when(asked & contains_any(n, words), 1.0).when(asked & said(words), 0.5).otherwise(0.0)
+        if wish in (denied or {}):
+            points = points - F.when(asked & said(denied[wish]), 1.0).otherwise(0.0)
+        if wish in (missing or {}):
+            points = points - F.when(asked & ~said(missing[wish]) & ~contains_any(n, missing[wish]), 0.5).otherwise(0.0)
+    terms = F.filter(F.split(q, r"\s+"), lambda t: t != "")
+    shared = F.size(F.array_intersect(terms, F.filter(F.split(n, r"[^\p{L}\p{N}_]+"), lambda t: t != "")))
+    points = points + F.when((F.size(terms) > 10) & (shared >= 2), 1.0).otherwise(0.0)
+    return F.when(points >= 1, 1).otherwise(0)
+
+
+def pooled_ranking(pools: DataFrame, system: str) -> DataFrame:
+    """(system, query, doc, rank) of a pool's documents by their rank in the system, those without one last, as if at 999."""
+    order = Window.partitionBy("query").orderBy(F.coalesce(f"{system}_rank", F.lit(999)), "doc")
+    return pools.select(F.lit(system).alias("system"), "query", "doc", F.row_number().over(order).alias("rank"))
+
+
+def changes(now: DataFrame, before: DataFrame, key: str, tolerances: dict[str, float]) -> DataFrame:
+    """(key, value, before, now, within): whether each value is within its tolerance of what it was.
+
+    A negative tolerance is the most a value may fall, a positive one the most it may rise.
+    """
+    parts = None
+    for value, most in tolerances.items():
+        a, b = now.select(key, F.col(value).alias("now")), before.select(key, F.col(value).alias("before"))
+        within = (F.col("now") - F.col("before") >= most) if most < 0 else (F.col("now") - F.col("before") <= most)
+        part = a.join(b, key).select(key, F.lit(value).alias("value"), "before", "now", within.alias("within"))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts

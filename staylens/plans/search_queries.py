@@ -212,6 +212,12 @@ def relevance_label(spark, folder):
     return hits.select("query_id", "source_hotel_id", "rank", label.alias("relevant"))
 
 
+def relevance_points(spark, folder):
+    hits = _latest_results(spark, folder).join(table(spark, folder, "queries"), "query_id")
+    label = evaluation.label_by_points(F.col("query"), F.col("hotel_name"), F.col("location"), F.array("location"), KEYWORDS, _TYPES, _AMENITIES, denied={"biển": ["xa biển"]}, missing={"wifi": ["wifi"]})
+    return hits.select("query_id", "source_hotel_id", label.alias("relevant"))
+
+
 def stream_windows(spark, folder):
     """Events read as a stream: repeated events go, values are summed by hour and kind."""
     return ingest.windowed(spark, f"{folder}/events.parquet")
@@ -221,7 +227,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_term_stats, bm25_topk, field_weighted_bm25, bm25_group_rollup, vector_topk, hybrid_full_outer, candidate_mask_fallback, infer_category, infer_type, descriptor_support, sentiment_penalty, type_boost, query_understanding, location_match, hybrid_search,
-        metrics_by_query, metrics_by_bucket, winners, pool_union, qrels_union, run_file, latency_p95, rolling_500, relevance_label, stream_windows,
+        metrics_by_query, metrics_by_bucket, winners, pool_union, qrels_union, run_file, latency_p95, rolling_500, relevance_label, relevance_points, stream_windows,
     )
 }
 
@@ -272,6 +278,9 @@ def _points(groups: dict, name: int, textual: int, first: str, second: str) -> s
     return " + ".join(f"CASE WHEN contains(lower(query), '{k}') AND {any_of(a, words)} THEN {x} WHEN contains(lower(query), '{k}') AND {any_of(b, words)} THEN {y} ELSE 0 END" for k, words in groups.items())
 
 
+_PLACE = ", ".join(f"CASE WHEN {any_of('q', w)} THEN CASE WHEN {any_of('l', w)} OR {any_of('n', w)} THEN 2.0 ELSE 0.0 END END" for w in KEYWORDS.values())
+_KIND = " + ".join(f"CASE WHEN {any_of('q', w)} AND {any_of('n', w)} THEN 1.0 ELSE 0.0 END" for w in _TYPES.values())
+_WISH = " + ".join(f"CASE WHEN {any_of('q', w)} THEN CASE WHEN {any_of('n', w)} THEN 1.0 WHEN {any_of('l', w)} THEN 0.5 ELSE 0.0 END ELSE 0.0 END" for w in _AMENITIES.values())
 _N, _T = "lower(coalesce(hotel_name, ''))", "lower(coalesce(location, ''))"
 _LABEL = " + ".join([_points(_TYPES, 3, 1, _N, _T), _points({k.replace("_", " "): v for k, v in KEYWORDS.items()}, 3, 1, _N, _T), _points(_AMENITIES, 2, 1, _T, _N)])
 _ORDERED = "list_transform(list_filter(list_zip({0}, range(1, len({0}) + 1)), lambda x: list_position({0}, x[1]) = x[2]), lambda x: x[1])"
@@ -337,5 +346,9 @@ SELECT query_id, core AS core_tokens, place AS detected_location, list_filter(co
     "latency_p95": "WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, n, round(avg(value), 4) AS mean, min(value) FILTER (i = floor(0.95 * (n - 1))) AS p95, max(value) AS most FROM o GROUP BY 1, 2",
     "rolling_500": "SELECT event_id, cast(sum(cast(value AS decimal(18,4))) OVER w AS double) / count(value) OVER w AS rolling FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW)",
     "relevance_label": f"WITH {_RESULTS}, {_HYBRID}, j AS (SELECT query_id, source_hotel_id, hotel_name, location, queries.query AS query, hyb.rank AS rank FROM res JOIN queries USING (query_id) JOIN hyb ON hyb.query = query_id AND doc = source_hotel_id) SELECT query_id, source_hotel_id, rank, CASE WHEN {_LABEL} + CASE WHEN rank <= 3 THEN 2 WHEN rank <= 5 THEN 1 ELSE 0 END + CASE WHEN len(list_distinct(list_filter(string_split_regex(lower(query), ' +'), lambda t: t <> ''))) <= 3 THEN 1 ELSE 0 END >= 2 THEN 1 ELSE 0 END AS relevant FROM j",
+    "relevance_points": f"""WITH {_RESULTS}, j AS (SELECT query_id, source_hotel_id, lower(coalesce(query, '')) AS q, lower(coalesce(hotel_name, '')) AS n, lower(coalesce(location, '')) AS l FROM res JOIN queries USING (query_id))
+SELECT query_id, source_hotel_id, CASE WHEN coalesce({_PLACE}, 0.0) + {_KIND} + {_WISH} - CASE WHEN {any_of('q', _AMENITIES['biển'])} AND contains(l, 'xa biển') THEN 1.0 ELSE 0.0 END
+  - CASE WHEN contains(q, 'wifi') AND NOT contains(l, 'wifi') AND NOT contains(n, 'wifi') THEN 0.5 ELSE 0.0 END
+  + CASE WHEN len(list_filter(string_split_regex(q, '\\s+'), lambda t: t <> '')) > 10 AND len(list_intersect(string_split_regex(q, '\\s+'), list_filter(string_split_regex(n, '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> ''))) >= 2 THEN 1.0 ELSE 0.0 END >= 1 THEN 1 ELSE 0 END AS relevant FROM j""",
     "stream_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS events, round(sum(value), 4) AS total FROM (SELECT DISTINCT event_id, ts, event_type, value FROM events) GROUP BY 1, 2",
 }

@@ -99,7 +99,7 @@ def test_pages(spark):
     assert one(spark, parse.is_address(F.col("v"), F.lit("huế")), v="12 đường Lê Lợi, Huế") is True
     assert one(spark, parse.is_address(F.col("v"), F.lit("huế")), v="nhân viên ở Huế, thân thiện") is False
     assert one(spark, parse.absolute_url(F.col("v"), "https://h"), v="/a") == "https://h/a"
-    assert one(spark, parse.review_id("traveloka", F.lit("9001"), F.lit(None), F.col("v"), F.lit("4.5"), F.lit("1700000000000")), v=" Phòng sạch ") == "traveloka_9001_5b4b279fc7dfc320"
+    assert one(spark, parse.review_id("stay", F.lit("9001"), F.lit(None), F.col("v"), F.lit("4.5"), F.lit("1700000000000")), v=" Phòng sạch ") == "stay_9001_5b4b279fc7dfc320"
 
 
 def test_payload(spark):
@@ -146,3 +146,9 @@ def test_lexicons(tmp_path):
     yaml = pytest.importorskip("yaml")
     (tmp_path / "r.yaml").write_text(yaml.safe_dump({"tags": {"t": {"positive": ["x"]}}}), encoding="utf-8")
     assert lexicon.read_rules(str(tmp_path / "r.yaml"), "tags") == [("x", "t", False)]
+
+
+def test_targets_in_json_of_any_depth(spark):
+    payload = '{"data": {"title": "Nhà", "list": [{"name": "A", "link": {"hotelSeoUrl": "/a"}}, {"hotelSeoUrl": "/b"}, {"name": "C", "hotelSeoUrl": "/a"}]}}'
+    assert [tuple(t) for t in one(spark, parse.json_targets(F.col("v")), v=payload)] == [("/a", "A"), ("/b", "Nhà")]
+    assert one(spark, parse.json_targets(F.col("v")), v="{") == [] and one(spark, parse.json_targets(F.col("v")), v=None) == []

@@ -123,3 +123,28 @@ def test_encoder_is_pluggable(spark):
 def test_summary(spark):
     df = spark.createDataFrame([("h", 1, "phòng đẹp phòng. Ồn. phòng đẹp phòng."), ("h", 2, None), ("k", 3, "")], "h string, id int, t string")
     assert rows(summary.summarise(df, "h", "id", "t", 2)) == [("h", 1, "phòng đẹp phòng.", 10), ("h", 2, "Ồn.", 0)]
+
+
+def test_label_by_points(spark):
+    places, types, wishes = {"huế": ["huế"]}, {"resort": ["resort"]}, {"quiet": ["yên tĩnh"], "pet": ["thú cưng"]}
+    label = evaluation.label_by_points(F.col("q"), F.col("n"), F.col("l"), F.col("r"), places, types, wishes, denied={"quiet": ["ồn"]}, missing={"pet": ["chó", "thú cưng"]})
+    cases = [
+        ("ở huế", "A", "Huế", [], 1),
+        ("ở huế", "A", "x", ["gần huế"], 1),
+        ("ở huế", "A", "x", [], 0),
+        ("resort", "Resort B", None, None, 1),
+        ("yên tĩnh", "A", "x", ["yên tĩnh"], 0),
+        ("resort yên tĩnh", "Resort", "x", ["rất ồn"], 0),
+        ("thú cưng yên tĩnh", "A", "x", ["yên tĩnh, có thú cưng"], 1),
+        ("a b c d e f g h i hoa sen", "Hoa Sen", "x", [], 1),
+        (None, None, None, None, 0),
+    ]
+    df = spark.createDataFrame(cases, "q string, n string, l string, r array<string>, want int")
+    assert all(r["got"] == r["want"] for r in df.withColumn("got", label).collect())
+
+
+def test_pooled_ranking_and_changes(spark):
+    pools = spark.createDataFrame([("Q1", "x", None), ("Q1", "y", 2), ("Q1", "z", 1)], "query string, doc string, a_rank int")
+    assert rows(evaluation.pooled_ranking(pools, "a")) == [("a", "Q1", "x", 3), ("a", "Q1", "y", 2), ("a", "Q1", "z", 1)]
+    now, before = (spark.createDataFrame([("s", m, t)], "system string, mrr double, ms double") for m, t in ((0.5, 130.0), (0.53, 100.0)))
+    assert rows(evaluation.changes(now, before, "system", {"mrr": -0.02, "ms": 40.0}).select("value", "within")) == [("mrr", False), ("ms", True)]
