@@ -91,3 +91,15 @@ def latest(df: DataFrame, keys: list[str], time: str) -> DataFrame:
     rest = [time, *[c for c in df.columns if c not in keys and c != time]]
     best = F.max(F.struct(*[col(c) for c in rest])).alias("_best")
     return df.groupBy(*[col(k) for k in keys]).agg(best).select(*[col(k) for k in keys], *[F.col("_best").getField(c).alias(c) for c in rest])
+
+
+def sample(df: DataFrame, by: list[str], n: int, total: int) -> DataFrame:
+    """The n rows of `total` whose columns `by` hash lowest, all if there are fewer; `hash` is added.
+
+    Rows whose hash can't be among the lowest n are left out first, with a margin of four standard
+    deviations, so that what reaches the driver is about n rows however many partitions there are.
+    """
+    share = min(1.0, (n + 4 * n**0.5 + 16) / max(1, total))
+    bound = min(2**63 - 1, int(-(2**63) + share * 2**64))
+    rows = df.withColumn("hash", F.xxhash64(*[col(c) for c in by]))
+    return rows.filter(F.col("hash") <= bound).orderBy("hash", *by).limit(n)

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from staylens.llm.canonical import canonical
 from staylens.llm.common import pick
+from staylens.llm.common import sample as lowest
 from staylens.llm.gazetteer import repaired
 
 #: Labelled rows that the model is fitted on, those whose id hashes lowest.
@@ -195,10 +196,9 @@ def fit_model(df: DataFrame, id_col: str, text_col: str, label_col: str, label_c
     forms = F.broadcast(_forms(label_codes))
     rows = pick(df, id=id_col, text=text_col, label=label_col).filter("text is not null")
     rows = rows.join(forms, F.lower(F.trim("label")) == F.col("form"))
-    held = rows.select("text", "code", F.xxhash64("id", "text").alias("h"))
-    held = held.orderBy("h", "text").limit(sample).collect()
+    held = lowest(rows.select("id", "text", "code"), ["id", "text"], sample, rows.count()).collect()
     codes = [r["code"] for r in label_codes.select("code").filter("code is not null").distinct().orderBy("code").collect()]
-    unique = {(r["h"], r["text"]): r["code"] for r in held}
+    unique = {(r["hash"], r["text"]): r["code"] for r in held}
     return fit([t for _, t in unique], list(unique.values()), codes)
 
 
