@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.llm.common import Kept, partitions, pick
+from staylens.llm.common import sample as lowest
 
 #: Vectors that a tree is grown on, at most; vectors of a block that are compared with each other at once; of a task's block.
 SAMPLE, LEAF, BLOCK = 100_000, 2048, 40_000
@@ -142,7 +143,7 @@ def neighbour_graph(df: DataFrame, id_col: str, vector_col: str, size: int, k: i
     state = kept.keep(rows.groupBy("id").agg(F.max("v").alias("v")).select("id", "v", empty[0].alias("nb"), empty[1].alias("ns")))
     total = state.count()
     leaves = max(1, min(total // LEAF, SAMPLE // 32))
-    held = state.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(min(SAMPLE, 256 * leaves)).select("v").toArrow()
+    held = lowest(state.select("id", "v"), ["id"], min(SAMPLE, 256 * leaves), total).select("v").toArrow()
     sample = _unit(_rows(held.column("v"), np.int8, size)) if total else np.zeros((0, size), np.float32)
 
     for r in range(rounds if total > 1 else 0):
@@ -272,7 +273,7 @@ def search_graph(graph: DataFrame, queries: DataFrame, size: int, k: int = 10, w
     if kk is None:
         return spark.createDataFrame([], "query long, neighbour long, similarity float")
     kept = Kept(spark)
-    held = graph.select("id", "v", F.xxhash64("id").alias("h")).orderBy("h").limit(entries).select("id", "v").toArrow()
+    held = lowest(graph.select("id", "v"), ["id"], entries, graph.count()).select("id", "v").toArrow()
     shared = spark.sparkContext.broadcast((held.column("id").to_numpy(), _unit(_rows(held.column("v"), np.int8, size))))
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
