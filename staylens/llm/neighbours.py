@@ -22,9 +22,9 @@ from staylens.llm.common import sample as lowest
 
 #: Vectors that a tree is grown on, at most; vectors of a block that are compared with each other at once; of a task's block.
 SAMPLE, LEAF, BLOCK = 100_000, 2048, 40_000
-#: Vertices that meet at a neighbour and are compared at once; more are taken in turns.
+#: Vertices that meet at a neighbour and are compared at once; more are taken in turns. Descent rounds that make up one over all places to meet: TURNS.
 MEETING = 64
-ROUNDS, DESCENTS, NEIGHBOURS = 4, 4, 10
+ROUNDS, DESCENTS, NEIGHBOURS, TURNS = 4, 6, 10, 3
 _STATE = "id long, v binary, nb binary, ns binary"
 
 
@@ -183,13 +183,13 @@ def _descend(state: DataFrame, size: int, k: int, r: int, seed: int) -> DataFram
     n = partitions(state.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each vertex to its neighbours of this round's half, with its worst similarity and a mark for each id it has."""
+        """Each vertex to its neighbours of this round's part, with its worst similarity and a mark for each id it has."""
         for batch in batches:
             ids, nb = batch.column("id").to_numpy(), _rows(batch.column("nb"), np.int64, k)
             worst = _rows(batch.column("ns"), np.float32, k)[:, -1]
             mark = np.bitwise_or.reduce(np.where(nb >= 0, np.uint64(1) << _mark(nb, r), np.uint64(0)), axis=1)
-            # Rounds take turns with the two halves of the places to meet, which halves what is under way at once.
-            who, place = np.nonzero((nb >= 0) & (_mark(nb, seed) % np.uint64(2) == r % 2))
+            # Rounds take turns with the parts of the places to meet, which lessens what is under way at once.
+            who, place = np.nonzero((nb >= 0) & (_mark(nb, seed) % np.uint64(TURNS) == r % TURNS))
             yield pa.RecordBatch.from_arrays([pa.array(nb[who, place]), pa.array(ids[who]), batch.column("v").take(pa.array(who)), pa.array(worst[who]), pa.array(mark[who].view(np.int64))], names=["at", "id", "v", "worst", "mark"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
