@@ -30,10 +30,8 @@ class Engine:
         asked = understanding.understand(rows, "raw", self.aliases, self.descriptors, self.synonyms)
         dense = None
         if self.embeddings is not None and vector_weight > 0:
-            asking = vectors.encode(asked.select(F.col("query").alias("id"), F.array_join("expanded_tokens", " ").alias("t")), "t")
-            docs = self.embeddings.select(F.col("doc").cast("string").alias("id"), "embedding")
-            kind = self.docs.schema["doc"].dataType
-            dense = vectors.exact_top(docs, asking, "id", "embedding", 100).select("query", F.col("doc").cast(kind).alias("doc"), F.col("score").alias("vector"))
+            asking = vectors.encode(asked.select("query", F.array_join("expanded_tokens", " ").alias("t")), "t")
+            dense = self.embeddings.select(F.col("doc").cast(self.docs.schema["doc"].dataType).alias("doc"), "embedding"), asking
         return search.search(asked, self.index, dense, self.docs, self.places, self.keywords, settings)
 
     def hotel(self, hotel_id: str) -> dict | None:

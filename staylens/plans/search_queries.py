@@ -129,10 +129,9 @@ def hybrid_search(spark, folder) -> DataFrame:
     asked = _understood(spark, folder).filter(_number() % EVERY == 0).withColumn("raw", F.col("query")).withColumn("query", F.col("query_id")).drop("query_id")
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "source_hotel_id", F.col("text").alias("review_text"), "category_tags", "tokens")
     index = bm25.build(docs, "doc", "tokens")
-    coded = vectors.encode(docs.select(F.col("doc").cast("string").alias("id"), F.array_join(F.coalesce("tokens", F.array().cast("array<string>")), " ").alias("t")), "t")
-    asking = vectors.encode(asked.select(F.col("query").alias("id"), F.array_join("expanded_tokens", " ").alias("t")), "t")
-    dense = vectors.exact_top(coded, asking, "id", "embedding", 100).select("query", F.col("doc").cast("long").alias("doc"), F.col("score").alias("vector"))
-    hits = search.search(asked, index, dense, docs.drop("tokens"), _places(spark, folder), KEYWORDS)
+    coded = vectors.encode(docs.select("doc", F.array_join(F.coalesce("tokens", F.array().cast("array<string>")), " ").alias("t")), "t")
+    asking = vectors.encode(asked.select("query", F.array_join("expanded_tokens", " ").alias("t")), "t")
+    hits = search.search(asked, index, (coded, asking), docs.drop("tokens"), _places(spark, folder), KEYWORDS)
     return hits.select("query", "rank", "source_hotel_id", "hotel_name", "location", "rating", F.col("reviews").alias("review_count"), F.round("hybrid_score", 6).alias("hybrid_score"), F.round("vector", 6).alias("vector_score"), F.round("bm25", 6).alias("bm25_score"), "location_matched", "descriptor_matched", F.slice("texts", 1, 3).alias("top_reviews"))
 
 

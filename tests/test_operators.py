@@ -112,6 +112,33 @@ def test_exact_top(spark, monkeypatch, block):
     assert got == [(1, 2, 1), (1, 7, 2), (2, 1, 1), (2, 7, 2), (3, 2, 1), (3, 7, 2)]
 
 
+def test_search_masks_the_whole_collection_before_the_pool(spark):
+    import numpy as np
+
+    from staylens import api
+
+    # 150 documents elsewhere are nearer than each of the 30 at the place asked for; none there shares the words of Q2.
+    texts = {i: ("away", "phòng đẹp") if i < 150 else ("here", f"phòng đẹp w{i} x{i} y{i}") for i in range(180)} | {180: ("away", "ban công")}
+    docs = spark.createDataFrame([(i, h, t, [], t.split()) for i, (h, t) in texts.items()], "doc long, source_hotel_id string, review_text string, category_tags array<string>, tokens array<string>")
+    places = spark.createDataFrame([("here", "A", "Bãi Vọng", "4", ["hotel"]), ("away", "B", "Huế", "4", ["hotel"])], "_id string, hotel_name string, location string, rating string, types array<string>")
+    coded = vectors.encode(docs.select("doc", F.array_join("tokens", " ").alias("t")), "t")
+    engine = api.Engine(docs, places, bm25.build(docs, "doc", "tokens"), coded, {"bãi_vọng": "bãi_vọng", "hòn_bích": "hòn_bích"}, {"bãi_vọng": ["bãi vọng"], "hòn_bích": ["hòn bích"]}, [])
+    hits = {(r["query"], r["source_hotel_id"]): r for r in engine.search(["phòng đẹp bãi vọng", "ban công bãi vọng", "ban công hòn bích"], vector_weight=1, bm25_weight=0).collect()}
+    code = lambda t: vectors.hashed([t])[0].astype(float)
+    for query, asked, own in (("Q1", "phòng đẹp bãi_vọng", "here"), ("Q2", "ban công bãi_vọng", "here"), ("Q3", "ban công hòn_bích", None)):
+        scores = {i: code(t) @ code(asked) for i, (h, t) in texts.items() if own in (h, None)}
+        for hotel in ("here", "away"):
+            mine = sorted((s / max(scores.values()) for i, s in scores.items() if s > 1e-9 and texts[i][0] == hotel), reverse=True)
+            assert ((query, hotel) in hits) == bool(mine)
+            if mine:
+                hit = hits[query, hotel]
+                assert hit["reviews"] == len(mine) and hit["score"] == pytest.approx(sum(mine[:5]))
+    assert hits["Q1", "here"]["reviews"] == 30
+    lexical = engine.search(["ban công bãi vọng"], vector_weight=0, bm25_weight=1)
+    assert lexical.count() == 0  # documents at the place exist, though none shares a word
+    assert np.all([r["location_matched"] for q, r in hits.items() if q[0] == "Q1"])
+
+
 def test_encoder_is_pluggable(spark):
     import numpy as np
 
