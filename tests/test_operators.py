@@ -112,6 +112,20 @@ def test_exact_top(spark, monkeypatch, block):
     assert got == [(1, 2, 1), (1, 7, 2), (2, 1, 1), (2, 7, 2), (3, 2, 1), (3, 7, 2)]
 
 
+@pytest.mark.parametrize("batch", ["4", "10000"])
+def test_exact_top_takes_an_id_once(spark, batch):
+    # Nine copies of the nearest, one of them farther; each id's best row counts.
+    rest = [(i, [1.0, 0.1 * i]) for i in range(2, 8)]
+    df = spark.createDataFrame([(1, [1.0, 0.0])] * 8 + [(1, [0.5, 0.0])] + rest + rest[::-1] + [(1, [1.0, 0.0])] + [(0, [1.0, 0.0])], "id long, v array<float>").coalesce(1)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = rows(vectors.exact_top(df, df.filter("id = 0"), "id", "v", 3, cosine=True).select("rank", "doc"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert got == [(1, 1), (2, 2), (3, 3)]
+
+
 def test_search_masks_the_whole_collection_before_the_pool(spark):
     import numpy as np
 
