@@ -172,25 +172,28 @@ def neighbour_graph(df: DataFrame, id_col: str, vector_col: str, size: int, k: i
         state = kept.keep(state.mapInArrow(key, _STATE + ", key long").groupBy("key").applyInArrow(join_block, _STATE))
         kept.drop(kept.n - 2)
 
+    narrow = total > 1 and state.agg(F.max("id")).first()[0] < 2**32 - 1
     for r in range(descents if total > 1 else 0):
-        state = kept.keep(_descend(state, size, k, r, seed))
+        state = kept.keep(_descend(state, size, k, r, seed, narrow))
         kept.drop(kept.n - 2)
     return state
 
 
-def _descend(state: DataFrame, size: int, k: int, r: int, seed: int) -> DataFrame:
-    """One round: vertices meet at the neighbours they list, and better ones return to their lists."""
-    n = partitions(state.sparkSession)
+def _descend(state: DataFrame, size: int, k: int, r: int, seed: int, narrow: bool = False) -> DataFrame:
+    """One round: vertices meet at the neighbours they list, and better ones return to their lists.
+
+    narrow: all ids are below 2**32 - 1, so that four bytes hold one.
+    """
+    n, kind = partitions(state.sparkSession), np.uint32 if narrow else np.int64
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each vertex to its neighbours of this round's part, with its worst similarity and a mark for each id it has."""
+        """Each vertex to its neighbours of this round's part, with its worst similarity and the ids it has."""
         for batch in batches:
             ids, nb = batch.column("id").to_numpy(), _rows(batch.column("nb"), np.int64, k)
             worst = _rows(batch.column("ns"), np.float32, k)[:, -1]
-            mark = np.bitwise_or.reduce(np.where(nb >= 0, np.uint64(1) << _mark(nb, r), np.uint64(0)), axis=1)
             # Rounds take turns with the parts of the places to meet, which lessens what is under way at once.
-            who, place = np.nonzero((nb >= 0) & (_mark(nb, seed) % np.uint64(TURNS) == r % TURNS))
-            yield pa.RecordBatch.from_arrays([pa.array(nb[who, place]), pa.array(ids[who]), batch.column("v").take(pa.array(who)), pa.array(worst[who]), pa.array(mark[who].view(np.int64))], names=["at", "id", "v", "worst", "mark"])
+            who, place = np.nonzero((nb >= 0) & (_part(nb, seed) % np.uint64(TURNS) == r % TURNS))
+            yield pa.RecordBatch.from_arrays([pa.array(nb[who, place]), pa.array(ids[who]), batch.column("v").take(pa.array(who)), pa.array(worst[who]), _binary(nb[who].astype(kind))], names=["at", "id", "v", "worst", "has"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +201,7 @@ def _descend(state: DataFrame, size: int, k: int, r: int, seed: int) -> DataFram
             if m < 2:
                 continue
             at, ids, worst = (batch.column(c).to_numpy() for c in ("at", "id", "worst"))
-            mark, x = batch.column("mark").to_numpy().view(np.uint64), _unit(_rows(batch.column("v"), np.int8, size))
+            has, x = _rows(batch.column("has"), kind, k), _unit(_rows(batch.column("v"), np.int8, size))
             starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             runs = np.diff(np.r_[starts, m])
             # Long runs are cut; then equal lengths are compared together.
@@ -212,9 +215,10 @@ def _descend(state: DataFrame, size: int, k: int, r: int, seed: int) -> DataFram
                     y = x[rows]
                     s = y @ y.transpose(0, 2, 1)
                     s[:, np.arange(length), np.arange(length)] = -2
-                    known = (mark[rows][:, :, None] >> _mark(ids[rows], r)[:, None, :]) & np.uint64(1)
-                    g, a, b = np.nonzero((s > worst[rows][:, :, None]) & (known == 0))
-                    out.append((ids[rows[g, a]], ids[rows[g, b]], s[g, a, b]))
+                    g, a, b = np.nonzero(s > worst[rows][:, :, None])
+                    u, w, s = rows[g, a], ids[rows[g, b]], s[g, a, b]
+                    new = (has[u] != w[:, None].astype(kind)).all(1)
+                    out.append((ids[u[new]], w[new], s[new]))
             if out:
                 u, w, s = (np.concatenate(c) for c in zip(*out, strict=True))
                 order = np.lexsort((w, u))
@@ -236,7 +240,7 @@ def _descend(state: DataFrame, size: int, k: int, r: int, seed: int) -> DataFram
             nb, ns = _best(np.hstack([nb, ids]), np.hstack([ns, sims]), k)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), _binary(nb), _binary(ns)], names=["id", "v", "nb", "ns"])
 
-    sent = state.mapInArrow(send, "at long, id long, v binary, worst float, mark long").repartition(n, "at").sortWithinPartitions("at")
+    sent = state.mapInArrow(send, "at long, id long, v binary, worst float, has binary").repartition(n, "at").sortWithinPartitions("at")
     found = sent.mapInArrow(meet, "id long, w long, s float")
     # The best k of what each vertex was offered: summed up before and after the shuffle, in lists of bounded length.
     best = found.groupBy("id").agg(F.slice(F.sort_array(F.collect_set(F.struct("s", "w")), asc=False), 1, k).alias("more"))
@@ -244,9 +248,9 @@ def _descend(state: DataFrame, size: int, k: int, r: int, seed: int) -> DataFram
     return state.join(best, "id", "left").select("id", "v", "nb", "ns", F.coalesce("more", none).alias("more")).mapInArrow(merge, _STATE)
 
 
-def _mark(ids: np.ndarray, r: int) -> np.ndarray:
-    """One of 64 places for an id, others in other rounds."""
-    return ((ids.astype(np.uint64) + np.uint64(r + 1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
+def _part(ids: np.ndarray, seed: int) -> np.ndarray:
+    """A number below 64 for an id."""
+    return ((ids.astype(np.uint64) + np.uint64(seed + 1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
 
 
 def neighbour_pairs(graph: DataFrame, k: int = NEIGHBOURS) -> DataFrame:

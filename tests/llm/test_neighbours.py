@@ -5,7 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from staylens.llm.neighbours import neighbour_graph, neighbour_pairs, search_graph
+from staylens.llm.neighbours import _STATE, _descend, neighbour_graph, neighbour_pairs, search_graph
 
 
 def _table(spark, vectors, ids=None):
@@ -54,6 +54,23 @@ def test_many_copies_are_neighbours_of_copies(spark):
     assert all(min(lists[i]) > 0.999 and len(lists[i]) == 10 for i in range(3000))
 
 
+def _state(spark, vertices):
+    """A graph in the middle of its descent from {id: (vector, list, similarities)}."""
+    data = [(i, bytearray(np.array(v, np.int8).tobytes()), bytearray(np.array(nb, np.int64).tobytes()), bytearray(np.array(ns, np.float32).tobytes())) for i, (v, nb, ns) in vertices.items()]
+    return spark.createDataFrame(data, _STATE)
+
+
+@pytest.mark.parametrize("narrow", [True, False])
+def test_no_better_neighbour_is_hidden_by_a_listed_one(spark, narrow):
+    # The ids of the listed one and of the better one are alike under multiplicative hashing, in all rounds.
+    q, p, u = 5, 3, 7
+    w = q + min(range(10, 100_000), key=lambda d: d * 0x9E3779B97F4A7C15 % 2**64)
+    state = _state(spark, {u: ([100, 0, 0, 0], [p, q], [0.9, 0.1]), w: ([99, 5, 0, 0], [p, -1], [0.9, -2]), p: ([90, 40, 0, 0], [-1, -1], [-2, -2]), q: ([10, 99, 0, 0], [-1, -1], [-2, -2])})
+    for r in range(6):
+        state = _descend(state, 4, 2, r, 1, narrow)
+    assert {n for i, n, _ in rows(neighbour_pairs(state, 2)) if i == u} == {p, w}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2])
 def test_tiny_tables(spark, n):
     df = _table(spark, np.eye(4)[:2]).limit(n)
