@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -10,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def col(name: str) -> Column:
     """A column by its literal name, dots and all."""
@@ -52,11 +53,13 @@ class Kept:
         self.spark, self.at, self.n = spark, f"{_folder(spark)}/staylens-{uuid.uuid4().hex}", 0
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.at}/{self.n}"
-        # Lets the cleaner see, before more is written, which shuffles no plan holds any more.
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-        df.write.parquet(path)
+        path, before = f"{self.at}/{self.n}", self.spark.conf.get(CLEANUP)
+        # What the writing shuffled goes with the end of it: no later step reads the plan itself.
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         self.n += 1
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from staylens.llm.common import cut, latest
 from staylens.llm.distinctive import term_weights
 from staylens.llm.gazetteer import map_values
 from staylens.llm.language import fit_model, label_meaning, languages
-from staylens.llm.neighbours import neighbour_graph, neighbour_pairs, search_graph
+from staylens.llm.neighbours import neighbour_graph, neighbour_pairs, off_by, search_graph
 from staylens.llm.packing import pack
 from staylens.llm.rank_fusion import fuse, majority_leaders
 from staylens.llm.repetition import repetition
@@ -90,8 +91,8 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_mapping(spark, folder).filter("not blank and not exact").select("place_id", "loc_id")
 
 
-#: Cosine from which a pair counts, and how far the graph's similarities can be off.
-ALIKE, MARGIN = 0.965, 0.004
+#: Cosine from which a pair counts.
+ALIKE = 0.965
 DIMENSIONS = 64
 
 
@@ -110,18 +111,15 @@ def p4_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    lists = neighbour_pairs(_graph(spark, folder)).filter(F.col("similarity") >= ALIKE - MARGIN)
-    pairs = lists.select(F.least("id", "neighbour").alias("vec_id_a"), F.greatest("id", "neighbour").alias("vec_id_b"), "similarity")
-    pairs = cut(pairs.groupBy("vec_id_a", "vec_id_b").agg(F.max("similarity").alias("similarity")))
-    sure = pairs.filter(F.col("similarity") >= ALIKE + MARGIN)
-    near = pairs.filter(F.col("similarity") < ALIKE + MARGIN)
-    if not near.isEmpty():  # so near to the bound that the vectors themselves must tell
-        vectors = _table(spark, folder, "vector_index").select("vec_id", "embeddings").filter(F.size("embeddings") == DIMENSIONS).groupBy("vec_id").agg(F.max("embeddings").alias("v"))
-        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-        near = near.join(vectors.select(F.col("vec_id").alias("vec_id_a"), F.col("v").alias("a")), "vec_id_a").join(vectors.select(F.col("vec_id").alias("vec_id_b"), F.col("v").alias("b")), "vec_id_b")
-        near = near.filter(dot("a", "b") >= ALIKE * F.sqrt(dot("a", "a") * dot("b", "b")))
-        sure = sure.unionByName(near.select("vec_id_a", "vec_id_b", "similarity"))
-    return sure.select("vec_id_a", "vec_id_b")
+    """Pairs of the graph that can be alike by their 8-bit directions, then all of them by the vectors themselves."""
+    least = math.cos(math.acos(ALIKE) + 2 * off_by(DIMENSIONS))
+    lists = neighbour_pairs(_graph(spark, folder)).filter(F.col("similarity") >= least)
+    pairs = cut(lists.select(F.least("id", "neighbour").alias("vec_id_a"), F.greatest("id", "neighbour").alias("vec_id_b")).distinct())
+    asked = pairs.select(F.explode(F.array("vec_id_a", "vec_id_b")).alias("vec_id")).distinct()
+    vectors = _table(spark, folder, "vector_index").select("vec_id", "embeddings").filter(F.size("embeddings") == DIMENSIONS).join(asked, "vec_id", "left_semi").groupBy("vec_id").agg(F.max("embeddings").alias("v"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    near = pairs.join(vectors.select(F.col("vec_id").alias("vec_id_a"), F.col("v").alias("a")), "vec_id_a").join(vectors.select(F.col("vec_id").alias("vec_id_b"), F.col("v").alias("b")), "vec_id_b")
+    return near.filter(dot("a", "b") >= ALIKE * F.sqrt(dot("a", "a") * dot("b", "b"))).select("vec_id_a", "vec_id_b")
 
 
 def _runs(spark: SparkSession, folder: str) -> DataFrame:

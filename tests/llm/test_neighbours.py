@@ -1,11 +1,13 @@
 """The neighbour graph and the search in it against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from staylens.llm.neighbours import _STATE, _descend, neighbour_graph, neighbour_pairs, search_graph
+from staylens.llm.common import Kept
+from staylens.llm.neighbours import _STATE, TURNS, _descend, _held, _kind, _whole_runs, neighbour_graph, neighbour_pairs, search_graph
 
 
 def _table(spark, vectors, ids=None):
@@ -54,23 +56,63 @@ def test_many_copies_are_neighbours_of_copies(spark):
     assert all(min(lists[i]) > 0.999 and len(lists[i]) == 10 for i in range(3000))
 
 
-def _state(spark, vertices):
+def _state(spark, vertices, kind=np.uint32):
     """A graph in the middle of its descent from {id: (vector, list, similarities)}."""
-    data = [(i, bytearray(np.array(v, np.int8).tobytes()), bytearray(np.array(nb, np.int64).tobytes()), bytearray(np.array(ns, np.float32).tobytes())) for i, (v, nb, ns) in vertices.items()]
+    data = [(i, bytearray(np.array(v, np.int8).tobytes()), bytearray(np.array(nb, np.int64).astype(kind).tobytes()), bytearray(_held(np.array(ns, np.float32)).tobytes()), bytearray(np.full(len(nb), 3, np.uint8).tobytes())) for i, (v, nb, ns) in vertices.items()]
     return spark.createDataFrame(data, _STATE)
 
 
+def _pass(spark, state, size, k, kind=np.uint32, **more):
+    kept = Kept(spark)
+    for turn in range(TURNS):
+        state = _descend(kept, state, size, k, kind, 1, turn, **more)
+    return state
+
+
 @pytest.mark.parametrize("narrow", [True, False])
 def test_no_better_neighbour_is_hidden_by_a_listed_one(spark, narrow):
     # The ids of the listed one and of the better one are alike under multiplicative hashing, in all rounds.
     q, p, u = 5, 3, 7
     w = q + min(range(10, 100_000), key=lambda d: d * 0x9E3779B97F4A7C15 % 2**64)
-    state = _state(spark, {u: ([100, 0, 0, 0], [p, q], [0.9, 0.1]), w: ([99, 5, 0, 0], [p, -1], [0.9, -2]), p: ([90, 40, 0, 0], [-1, -1], [-2, -2]), q: ([10, 99, 0, 0], [-1, -1], [-2, -2])})
-    for r in range(6):
-        state = _descend(state, 4, 2, r, 1, narrow)
+    vertices = {u: ([100, 0, 0, 0], [p, q], [0.9, 0.1]), w: ([99, 5, 0, 0], [p, -1], [0.9, -2]), p: ([90, 40, 0, 0], [-1, -1], [-2, -2]), q: ([10, 99, 0, 0], [-1, -1], [-2, -2])}
+    state = _pass(spark, _state(spark, vertices, _kind(narrow)), 4, 2, _kind(narrow))
     assert {n for i, n, _ in rows(neighbour_pairs(state, 2)) if i == u} == {p, w}
 
 
+def test_a_neighbour_of_a_neighbour_is_met_without_listing_it(spark):
+    # 1 lists 2, 2 lists 3, and 3 lists neither.
+    vertices = {1: ([100, 0, 0, 0], [2, 4], [0.9, 0.0]), 2: ([90, 40, 0, 0], [3, 1], [0.95, 0.9]), 3: ([95, 30, 0, 0], [4, -1], [0.3, -2]), 4: ([0, 100, 0, 0], [3, -1], [0.3, -2])}
+    state = _pass(spark, _state(spark, vertices), 4, 2)
+    assert {n for i, n, _ in rows(neighbour_pairs(state, 2)) if i == 1} == {2, 3} and (3, 1) in {(i, n) for i, n, _ in rows(neighbour_pairs(state, 2))}
+
+
+def test_all_pairs_of_a_crowded_place_meet(spark):
+    # Forty vertices list one hub only; in groups of four all of them still find their best two.
+    rng = np.random.default_rng(3)
+    x = rng.integers(-100, 100, (41, 8))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T - 3 * np.eye(41)
+    state = _state(spark, {i: (x[i], [0, -1] if i else [-1, -1], [float(near[i, 0]) if i else -2, -2]) for i in range(41)})
+    got = {}
+    for i, n, _ in rows(neighbour_pairs(_pass(spark, state, 8, 2, crowd=8), 2)):
+        got.setdefault(i, set()).add(n)
+    assert all(got[i] == set(np.argsort(-near[i])[:2].tolist()) for i in range(1, 41))
+
+
+@pytest.mark.parametrize("limit", [3, 100])
+def test_runs_stay_whole_over_batches(limit):
+    values = np.repeat(np.arange(6), [1, 5, 2, 9, 1, 4])
+    batches = [pa.RecordBatch.from_arrays([pa.array(values[i : i + 3])], names=["c"]) for i in range(0, len(values), 3)]
+    got, over = [], {}
+    for some in _whole_runs(iter(batches), "c", limit):
+        if isinstance(some, tuple):
+            over[some[0]] = some[1]
+        else:
+            got.append(set(some.column("c").to_pylist()))
+    assert sorted(v for g in got for v in g) == sorted({0, 1, 2, 3, 4, 5} - set(over))
+    assert over == ({1: 5, 3: 9, 5: 4} if limit == 3 else {})
+
+
 @pytest.mark.parametrize("n", [0, 1, 2])
 def test_tiny_tables(spark, n):
     df = _table(spark, np.eye(4)[:2]).limit(n)
