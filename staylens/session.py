@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -23,6 +25,8 @@ def session(app: str = "staylens", master: str | None = None, **conf: str) -> Sp
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Checkpoints go when nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     return builder.config(map=defaults | conf).getOrCreate()
 
@@ -51,12 +55,30 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from its rows in the session's shared checkpoint folder on: later steps neither plan nor run what led to it again.
+def folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share: the one in spark.checkpoint.dir.
 
-    The folder is the one in spark.checkpoint.dir; only where none is set a temporary one is made.
+    Where none is set one is made if there is one machine only, and goes with the program; on a
+    cluster that would be another folder on every machine, so it is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "staylens-checkpoints"))
+        held = sc.getConf().get("spark.checkpoint.dir")
+        if not held:
+            if not sc.master.split("[")[0] == "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            held = tempfile.mkdtemp(prefix="staylens-")
+            atexit.register(shutil.rmtree, held, ignore_errors=True)
+        sc.setCheckpointDir(held)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from its rows in the session's shared checkpoint folder on: later steps neither plan nor run what led to it again."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)

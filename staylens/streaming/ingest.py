@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staylens.operators import quality, store
+from staylens.session import folder
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder under the session's shared checkpoint folder, or under a temporary one where none is set."""
-    held = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "staylens-checkpoints")
-    return f"{held}/stream-{uuid.uuid4().hex}"
+    """A new folder under the session's shared checkpoint folder."""
+    return f"{folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def windowed(spark: SparkSession, path: str, delay: str = "2 hours", window: str = "1 hour") -> DataFrame:
@@ -25,8 +24,8 @@ def windowed(spark: SparkSession, path: str, delay: str = "2 hours", window: str
     which events of any age are seen; results go to a table in the shared folder.
     """
     schema = spark.read.parquet(path).schema
-    folder = path if not path.endswith(".parquet") or os.path.isdir(path) else os.path.dirname(path)
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*" if folder == path else os.path.basename(path)).parquet(folder)
+    held = path if not path.endswith(".parquet") or os.path.isdir(path) else os.path.dirname(path)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*" if held == path else os.path.basename(path)).parquet(held)
     rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicates(["event_id", "ts"])
     sums = rows.groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total"))
     sums = sums.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "events", F.round("total", 4).alias("total"))
@@ -60,10 +59,10 @@ def keep_up(stream: DataFrame, path: str, checkpoint: str, key: str = "review_id
 def read_table(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """The last version of a table that keep_up() writes, or the last one before a batch; None if there is none."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(conf)
-    if not system.exists(folder):
+    held = jvm.org.apache.hadoop.fs.Path(path)
+    system = held.getFileSystem(conf)
+    if not system.exists(held):
         return None
-    names = sorted(s.getPath().getName() for s in system.listStatus(folder) if s.getPath().getName().startswith("v="))
+    names = sorted(s.getPath().getName() for s in system.listStatus(held) if s.getPath().getName().startswith("v="))
     names = [n for n in names if before is None or int(n[2:]) < before]
     return spark.read.parquet(f"{path}/{names[-1]}") if names else None
