@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staylens.session import cut, delete, folder  # noqa: F401
+
+#: Whether shuffle files go at the end of the query that wrote them.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -31,30 +34,20 @@ def usable(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the session's shared checkpoint folder and go on from there.
-
-    The folder is the one the session names in spark.checkpoint.dir. Only where none is set (tests,
-    one machine) a temporary one is made.
-    """
-    _folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 class Kept:
     """Tables of the rounds of one job, written to the shared checkpoint folder.
 
-    With a round's table read back from there, what the rounds before shuffled can be cleaned up,
-    and drop() deletes tables that are no longer needed, so that disk use doesn't grow with the
-    rounds. The last table stays for the caller; it goes with the checkpoint folder.
+    What the writing of a table shuffled goes with the end of it, and drop() deletes tables that
+    are no longer needed, so that disk use doesn't grow with the rounds. What is left stays for the
+    caller until the program ends.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.at, self.n = spark, f"{_folder(spark)}/staylens-{uuid.uuid4().hex}", 0
+        self.spark, self.at, self.n = spark, f"{folder(spark)}/staylens-{uuid.uuid4().hex}", 0
+        atexit.register(self._close)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path, before = f"{self.at}/{self.n}", self.spark.conf.get(CLEANUP)
-        # What the writing shuffled goes with the end of it: no later step reads the plan itself.
         self.spark.conf.set(CLEANUP, "true")
         try:
             df.write.parquet(path)
@@ -65,18 +58,12 @@ class Kept:
 
     def drop(self, *numbers: int) -> None:
         """Delete the tables of these rounds."""
-        sc = self.spark.sparkContext
         for number in numbers:
-            path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.at}/{number}")
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
+            delete(self.spark, f"{self.at}/{number}")
 
-def _folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one is set where there is none."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "staylens-checkpoints"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    def _close(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended
+            delete(self.spark, self.at)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import defaultdict
@@ -20,6 +21,8 @@ from staylens.llm.common import pick
 #: The list is held by every task; it is checked against this number of entries.
 MOST_ENTRIES = 200_000
 NONE = -1
+#: Token sets: least score, least distance to the second-best entry, what a word counts that is one slip off.
+LIKE, MARGIN, SLIP = 0.75, 0.1, 0.75
 
 # How addresses are written.
 _STREET = ["đường", "duong", "phố", "pho", "hẻm", "hem", "ngõ", "ngo", "kiệt", "kiet", "đl", "đại lộ", "dai lo", "street", "st.", "road"]
@@ -118,6 +121,9 @@ class Gazetteer:
         self.with_accents, self.without = ahocorasick.Automaton(), ahocorasick.Automaton()
         self.joined, self.keys, self.shorter, self.by_last = (defaultdict(set) for _ in range(4))
         self.words: set[tuple[bool, str]] = set()  # whether a name's first word, the word
+        # For the token sets: the forms that have a word without accents, and those words by what a slip leaves of them.
+        self.forms: list[tuple[int, list[str]]] = []
+        self.having, self.slipped = defaultdict(list), defaultdict(set)
         plain: dict[str, set] = defaultdict(set)
         full: dict[str, set] = defaultdict(set)
         for entry, name, aliases in entries:
@@ -127,6 +133,9 @@ class Gazetteer:
                 text = " ".join(_LETTERS.findall(_plain(form or "")))
                 if not text:
                     continue
+                self.forms.append((entry, text.split()))
+                for word in {fold(w) for w in text.split()}:
+                    self.having[word].append(len(self.forms) - 1)
                 full[text].add((entry, text))
                 plain[fold(text)].add((entry, text))
                 self.words.update((i == 0, w) for x in (text, fold(text)) for i, w in enumerate(x.split()))
@@ -139,6 +148,9 @@ class Gazetteer:
                     if rest:
                         self.by_last[first[0], rest].add((entry, text))
                 self.keys[typed(text)].add((entry, text))
+        for word in self.having:
+            for s in _shorter(word):
+                self.slipped[s].add(word)
         for automaton, forms in ((self.with_accents, full), (self.without, plain)):
             for text, owners in forms.items():
                 automaton.add_word(f" {text} ", (len(text) + 2, owners))
@@ -203,7 +215,7 @@ class Gazetteer:
                 if (entry := self._one([o for o in owners if self._agree(written, o[1])])) is not None:
                     return entry
         for part, text in zip(reversed(places), reversed(texts), strict=True):
-            for look in (self._whole, self._initial, self._similar):
+            for look in (self._whole, self._initial, self._similar, self._token_set):
                 if (entry := look(part, text)) is not None:
                     return entry
         return NONE
@@ -223,17 +235,12 @@ class Gazetteer:
         return self._one(owners)
 
     def _similar(self, part: str, text: str) -> int | None:
-        """The same set of words, or all but one letter of them.
+        """The letters of a name, but for one slip.
 
         A word that is one of other names in the same place, first or later, isn't a slip: it makes
         another name, not in the list.
         """
-        words = text.split()
-        if len(words) > 1:
-            same = [o for o in self.joined.get("".join(sorted(words)), ())]
-            if (entry := self._one(same)) is not None:
-                return entry
-        whole = text.replace(" ", "")
+        words, whole = text.split(), text.replace(" ", "")
         if len(whole) < 4:
             return None
         near = set()
@@ -246,16 +253,51 @@ class Gazetteer:
                         near.add((entry, name))
         return self._one(near)
 
+    def _token_set(self, part: str, text: str) -> int | None:
+        """The entry whose words are most like the value's as a set, in any order, some missing, others more.
+
+        The score is the words in common, twice, as a share of the words of both. Accents may be
+        missing; a word with one slip counts SLIP, unless it is a word of other names. The best
+        entry must have LIKE and be MARGIN ahead of the second best. A single word says too little.
+        """
+        words = text.split()
+        if len(words) < 2:
+            return None
+        known = {w: [fold(w)] if fold(w) in self.having else [t for s in _shorter(fold(w)) for t in self.slipped.get(s, ()) if len(w) > 2 and one_edit(fold(w), t)] for w in words}
+        often = {w: sum(len(self.having[t]) for t in set(ts)) for w, ts in known.items()}
+        # Who reaches LIKE shares so many words that one of the rarest of these is among them.
+        least = math.ceil(LIKE * len(words) / (2 - LIKE) - 1e-9)
+        probes = sorted(words, key=lambda w: often[w])[: len(words) - least + 1]
+        forms = {f for w in probes for t in known[w] for f in self.having[t]}
+        # With the accents as they are written first, then with missing ones.
+        for agree in (str.__eq__, self._agree):
+            best: dict[int, float] = {}
+            for entry, theirs in (self.forms[f] for f in forms):
+                left, common = list(theirs), 0.0
+                for w in words:
+                    if (same := next((t for t in left if agree(w, t)), None)) is not None:
+                        left.remove(same)
+                        common += 1
+                for w in words:
+                    if fold(w) not in self.having and (near := next((t for t in left if fold(t) in known[w]), None)) is not None:
+                        left.remove(near)
+                        common += SLIP
+                best[entry] = max(best.get(entry, 0.0), 2 * common / (len(words) + len(theirs)))
+            (first, score), *others = sorted(best.items(), key=lambda e: -e[1]) or [(NONE, 0.0)]
+            if score >= LIKE:
+                return first if all(score - other >= MARGIN - 1e-9 for _, other in others[:1]) else None
+        return None
+
 
 def map_values(df: DataFrame, id_col: str, value_col: str, entries: DataFrame, entry_id: str, name_col: str, aliases_col: str) -> DataFrame:
     """Each value's entry in the list: (id, value, entry id, exact, blank); -1 where it denotes none.
 
     Values are compared in their one form (see canonical_text), misread bytes read again. Mentions
     of names and aliases are found by one automaton, the longest first and without overlap; accents
-    may be missing but not differ. Streets don't count, the town does. What is left goes to
-    token-set similarity: the same words run together, in another order, cut to an initial, typed
-    without the input method, or with one letter wrong. A value that suits several entries alike
-    denotes none.
+    may be missing but not differ. Streets don't count, the town does. What is left is tried with
+    its words run together, cut to an initial, typed without the input method or with one letter
+    wrong, and then by token-set similarity: the words of both as sets, from LIKE on and MARGIN
+    ahead of the second-best entry. A value that suits several entries alike denotes none.
 
     One row per input row, repeated rows and null ids too. Null and blank values get -1 and
     `blank`; `exact` says that the value is a canonical name to the letter. An empty list maps

@@ -23,6 +23,8 @@ SAMPLE = 6000
 BUCKETS, SIZE = 1 << 16, 16
 #: Least words of a stretch; of Chinese or Japanese, least characters.
 LEAST_WORDS, LEAST_CHARACTERS = 4, 6
+#: Words of an example to fit on, at most; forms of labels, at most; chance of being right below which a judgement is rejected.
+EXAMPLE, MOST_FORMS, RIGHT = 60, 10_000, 0.5
 #: Words remembered by a task, with their sums.
 MOST_WORDS = 500_000
 
@@ -33,8 +35,7 @@ _IDEOGRAPHS = "々-〇぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003134f"
 _OTHER = re.compile("[Ͱ-᷿⺀-퟿豈-￯\U00020000-\U0003134f]")
 _LATIN_WORD = re.compile("[^\\W\\d_]+(?:['’][^\\W\\d_]+)?")
 _WORD = re.compile(f"[{_IDEOGRAPHS}]|[^\\W\\d_{_IDEOGRAPHS}]+(?:['’][^\\W\\d_{_IDEOGRAPHS}]+)?")
-#: What the names of houses begin with.
-_HOUSES = re.compile(r"[(（]\s*(?:khách sạn|khach san|khu nghỉ dưỡng|khu nghi duong|nhà nghỉ|nha nghi|căn hộ|can ho|homestay|resort|villa|hostel|hotel|motel|bungalow)\b[^()（）]*[)）]")
+_BRACKETS = re.compile(r"[(\uff08]([^()\uff08\uff09]*)[)\uff09]")
 _SCRIPTS = [(0x0370, 0x03FF, "g"), (0x0400, 0x052F, "c"), (0x1100, 0x11FF, "h"), (0x3040, 0x30FF, "j"), (0x3400, 0x4DBF, "j"), (0x4E00, 0x9FFF, "j"), (0xAC00, 0xD7A3, "h"), (0xF900, 0xFAFF, "j"), (0x20000, 0x3134F, "j")]
 
 
@@ -45,15 +46,22 @@ def _script(word: str) -> str:
     return next((s for a, b, s in _SCRIPTS if a <= code <= b), "l")
 
 
+def _is_name(text: str) -> bool:
+    """Whether words without a full stop are a name: most of them begin with a capital letter."""
+    words = _WORD.findall(text)
+    return not re.search("[.!?…。！？]", text) and 2 * sum(w[0].isupper() for w in words) > len(words)
+
+
 def stretches(text: str) -> list[tuple[str, list[str]]]:
     """The sentences of a text in its one form, each as (script, lower-case words).
 
-    A sentence in several scripts gives a stretch for each. Links, emoji and house names that
-    stand in brackets by themselves are left out.
+    A sentence in several scripts gives a stretch for each. Links, emoji and names that stand in
+    brackets by themselves are left out.
     """
-    text = _LINK.sub(" ", canonical(repaired(text))[0].lower())
+    text = _LINK.sub(" ", canonical(repaired(text))[0])
     if "(" in text or "\uff08" in text:
-        text = _HOUSES.sub(" . ", text)
+        text = _BRACKETS.sub(lambda m: " . " if _is_name(m[1]) else m[0], text)
+    text = text.lower()
     if not _OTHER.search(text):
         return [("l", words) for piece in _BREAK.split(text) if (words := _LATIN_WORD.findall(piece))]
     found = []
@@ -65,6 +73,11 @@ def stretches(text: str) -> list[tuple[str, list[str]]]:
     return found
 
 
+def _full(script: str, words: list[str]) -> bool:
+    """Whether a stretch is long enough to say something."""
+    return len(words) >= (LEAST_CHARACTERS if script == "j" else LEAST_WORDS)
+
+
 def _features(word: str, script: str) -> list[int]:
     """Buckets of a word: itself, its parts of two to four letters, its script."""
     if script == "j":
@@ -83,7 +96,8 @@ class LanguageModel:
     table: np.ndarray  # buckets x languages: embeddings times the output layer
     bias: np.ndarray
     temperature: float = 1.0
-    bound: float = 0.0
+    bound: float = 0.0  # of a stretch
+    text_bound: float = 0.0  # of a whole text
     _index: dict[tuple[str, str], int] = field(default_factory=dict, repr=False)
     _sums: np.ndarray | None = field(default=None, repr=False)
 
@@ -116,6 +130,11 @@ class LanguageModel:
         sums = np.add.reduceat(self._sums[at], starts, axis=0)
         return sums[:, :-1] / sums[:, -1:] + self.bias
 
+    def whole(self, p: np.ndarray, found: list[tuple[str, list[str]]]) -> np.ndarray:
+        """Probabilities of a text from those of its stretches, by their words."""
+        sizes = np.array([len(words) for _, words in found])
+        return (p * sizes[:, None]).sum(0) / sizes.sum()
+
     def judge(self, found: list[tuple[str, list[str]]]) -> np.ndarray:
         """Probabilities of the languages for each stretch."""
         return _softmax(self.scores(found) / self.temperature)
@@ -152,38 +171,73 @@ def _descend(data: list[tuple[list[int], int]], languages: int, epochs: int, see
     return embedding @ output, bias
 
 
+def _reject(sure: np.ndarray, right: np.ndarray) -> tuple[float, float]:
+    """(bound, share of wrong labels) from judgements on held-out rows, whose labels can be wrong themselves.
+
+    How many of the labels are wrong shows in the surer half. The chance of being right for a
+    confidence comes from isotonic regression, as a share of what the labels allow; the bound is
+    the least confidence with a chance of RIGHT, and never less than that.
+    """
+    order = np.argsort(sure, kind="stable")
+    allowed = max(float(right[order][len(order) // 2 :].mean()), 1e-9)
+    blocks: list[list[float]] = []  # right ones, rows, least confidence
+    for confidence, good in zip(sure[order], right[order], strict=True):
+        blocks.append([float(good), 1, float(confidence)])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            last = blocks.pop()
+            blocks[-1][0] += last[0]
+            blocks[-1][1] += last[1]
+    bound = next((least for good, rows, least in blocks if good / rows >= RIGHT * allowed), 1.0)
+    return max(RIGHT, bound), 1 - allowed
+
+
+def _temperature(logits: np.ndarray, truth: np.ndarray, wrong: float) -> float:
+    """The temperature of least log loss, given the share of labels that are wrong; by golden section."""
+
+    def loss(log_t: float) -> float:
+        p = _softmax(logits / np.exp(log_t))[np.arange(len(truth)), truth]
+        return float(-np.log((1 - wrong) * p + wrong / logits.shape[1] + 1e-9).mean())
+
+    low, high, cut = np.log(0.1), np.log(10), (5**0.5 - 1) / 2
+    for _ in range(30):
+        a, b = high - cut * (high - low), low + cut * (high - low)
+        low, high = (low, b) if loss(a) < loss(b) else (a, high)
+    return float(np.exp((low + high) / 2))
+
+
 def fit(texts: list[str], labels: list[str], codes: list[str], epochs: int = 4, seed: int = 7) -> LanguageModel:
     """A model from texts with labels of which some are wrong and some texts mixed.
 
-    A first model is fitted on all; stretches whose label it finds unlikely don't count for the
-    second. A tenth of what is left is held out for the temperature (least log loss) and for the
-    bound below which a judgement is rejected (the least at which 99.5 % of the rest are right).
+    A tenth of the texts, as they are, is held out. A first model is fitted on the others;
+    stretches whose label it finds unlikely don't count for the second. The held-out texts give
+    the temperature and the bounds below which the judgement of a stretch or of a text is
+    rejected. Stretches count whole; a long one is several examples.
     """
-    data = []
-    for text, label in zip(texts, labels, strict=True):
-        for script, words in stretches(text):
-            if len(words) >= 3:
-                data.append(([b for w in words[:60] for b in _features(w, script)], codes.index(label), (script, words)))
-    if not data:
-        return LanguageModel(codes, np.zeros((BUCKETS, len(codes)), np.float32), np.zeros(len(codes), np.float32), bound=1.1)
     rng = np.random.default_rng(seed)
+    held_out, data, tests = rng.random(len(texts)) < 0.1, [], []
+    for text, label, held in zip(texts, labels, held_out, strict=True):
+        found = stretches(text)
+        if held and found:
+            tests.append((found, codes.index(label)))
+        for script, words in found if not held else ():
+            for part in np.array_split(words, -(-len(words) // EXAMPLE)) if len(words) >= 3 else ():
+                data.append(([b for w in part for b in _features(str(w), script)], codes.index(label), (script, words)))
+    if not data:
+        return LanguageModel(codes, np.zeros((BUCKETS, len(codes)), np.float32), np.zeros(len(codes), np.float32), bound=1.1, text_bound=1.1)
     first = LanguageModel(codes, *_descend([d[:2] for d in data], len(codes), 2, seed))
     own = first.judge([d[2] for d in data])[np.arange(len(data)), [d[1] for d in data]]
-    clean = [d for d, p in zip(data, own, strict=True) if p >= 0.3] or data
-    held = rng.random(len(clean)) < 0.1
-    rest = [d[:2] for d, h in zip(clean, held, strict=True) if not h] or [d[:2] for d in clean]
-    model = LanguageModel(codes, *_descend(rest, len(codes), epochs, seed + 1))
-    tests = [d for d, h in zip(clean, held, strict=True) if h] or clean
-    truth, logits = np.array([d[1] for d in tests]), model.scores([d[2] for d in tests])
-    losses = {t: -np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-9).mean() for t in (0.5, 0.75, 1.0, 1.5, 2.0, 3.0)}
-    model.temperature = min(losses, key=losses.get)
+    clean = [d[:2] for d, p in zip(data, own, strict=True) if p >= 0.3] or [d[:2] for d in data]
+    model = LanguageModel(codes, *_descend(clean, len(codes), epochs, seed + 1))
+    tests = tests or [([d[2]], d[1]) for d in data]
+    clauses = [(s, y) for found, y in tests for s in found if _full(*s)] or [(s, y) for found, y in tests for s in found]
+    logits, truth = model.scores([s for s, _ in clauses]), np.array([y for _, y in clauses])
+    # What is surest and how many labels are wrong hardly depends on the temperature, which depends on the latter.
+    _, wrong = _reject(_softmax(logits).max(1), logits.argmax(1) == truth)
+    model.temperature = _temperature(logits, truth, wrong)
     p = _softmax(logits / model.temperature)
-    order = np.argsort(-p.max(1), kind="stable")
-    right = np.cumsum((p.argmax(1) == truth)[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero(right >= 0.995)
-    # Where all of them pass there is nothing to reject by; more likely than not is then enough.
-    all_pass = len(good) and good[-1] == len(order) - 1
-    model.bound = 0.5 if all_pass else float(max(0.5, p.max(1)[order][good[-1]])) if len(good) else 0.9
+    model.bound, _ = _reject(p.max(1), p.argmax(1) == truth)
+    whole = np.stack([model.whole(model.judge(found), found) for found, _ in tests])
+    model.text_bound, _ = _reject(whole.max(1), whole.argmax(1) == np.array([y for _, y in tests]))
     return model
 
 
@@ -193,18 +247,22 @@ def fit_model(df: DataFrame, id_col: str, text_col: str, label_col: str, label_c
     label_codes has (code, forms); labels are compared without regard to letter case and outer
     blanks. Only this bounded sample reaches the driver.
     """
-    forms = F.broadcast(_forms(label_codes))
+    forms = _forms(label_codes)
     rows = pick(df, id=id_col, text=text_col, label=label_col).filter("text is not null")
-    rows = rows.join(forms, F.lower(F.trim("label")) == F.col("form"))
+    rows = rows.join(F.broadcast(forms), F.lower(F.trim("label")) == F.col("form"))
     held = lowest(rows.select("id", "text", "code"), ["id", "text"], sample, rows.count()).collect()
-    codes = [r["code"] for r in label_codes.select("code").filter("code is not null").distinct().orderBy("code").collect()]
+    codes = sorted({r["code"] for r in label_codes.select("code").filter("code is not null").limit(MOST_FORMS).collect()})
     unique = {(r["hash"], r["text"]): r["code"] for r in held}
     return fit([t for _, t in unique], list(unique.values()), codes)
 
 
 def _forms(label_codes: DataFrame) -> DataFrame:
-    """(form, code), one row a form."""
-    return label_codes.select("code", F.explode("forms").alias("form")).groupBy(F.lower("form").alias("form")).agg(F.min("code").alias("code"))
+    """(form, code), one row a form; small enough to be broadcast, which is checked."""
+    forms = label_codes.select("code", F.explode("forms").alias("form")).groupBy(F.lower("form").alias("form")).agg(F.min("code").alias("code"))
+    held = forms.limit(MOST_FORMS + 1).collect()
+    if len(held) > MOST_FORMS:
+        raise ValueError(f"there are more than {MOST_FORMS} forms of labels")
+    return label_codes.sparkSession.createDataFrame([(r["form"], r["code"]) for r in held], T.StructType([T.StructField("form", T.StringType()), T.StructField("code", T.StringType())]))
 
 
 def languages(df: DataFrame, id_col: str, text_col: str, model: LanguageModel, carry: list[str] = ()) -> DataFrame:
@@ -239,14 +297,13 @@ def languages(df: DataFrame, id_col: str, text_col: str, model: LanguageModel, c
                     confidence.append(0.0)
                     runs.append([])
                     continue
-                sizes = np.array([len(w) for _, w in part])
-                whole = (p[at : at + n] * sizes[:, None]).sum(0) / sizes.sum()
+                whole = m.whole(p[at : at + n], part)
                 k = int(whole.argmax())
-                lang.append(m.codes[k] if whole[k] >= min(m.bound, 0.5) else None)
+                lang.append(m.codes[k] if whole[k] >= m.text_bound else None)
                 confidence.append(float(whole[k]))
                 out: list[list] = []
                 for (script, words), b, c in zip(part, best[at : at + n], sure[at : at + n], strict=True):
-                    if len(words) < (LEAST_CHARACTERS if script == "j" else LEAST_WORDS):
+                    if not _full(script, words):
                         continue
                     code, c, size = m.codes[b] if c >= m.bound else None, float(c), len(words)
                     if out and out[-1][0] == code:

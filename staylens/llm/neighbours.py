@@ -27,9 +27,9 @@ SAMPLE, LEAF, BLOCK = 100_000, 8192, 40_000
 #: Neighbours given out; entries of the lists that the descent works on, which must be more for it not to get stuck.
 NEIGHBOURS, LISTED = 10, 16
 #: Trees; parts of the places to meet that take turns, so that what is under way at once is a part's.
-ROUNDS, TURNS = 4, 6
-#: The descent ends when the turns of a pass over all places have made less than this share of the entries new.
-SETTLED = 0.1
+ROUNDS, TURNS = 4, 4
+#: The descent ends when, after every place has had its turn, a turn made less than this share of the entries new.
+SETTLED = 0.05
 #: Vertices that meet at one place in one task. More are dealt into groups of half of it, every two of which meet in a task of their own.
 CROWD = 20_000
 #: Similarity from which two directions count as the same one.
@@ -175,8 +175,8 @@ def neighbour_graph(df: DataFrame, id_col: str, vector_col: str, size: int, k: i
     lists, an empty table an empty result. The length of the vectors has no effect. Similarities
     are those of the 8-bit directions; each direction is off by off_by(size) at most.
 
-    The descent ends when a pass made less than the share `settled` of the entries new; as lists
-    only ever get better, it does end.
+    The descent ends when every place has had its turn and a turn made less than the share
+    `settled` of the entries new; as lists only ever get better, it does end.
     """
     spark = df.sparkSession
     kept = Kept(spark)
@@ -228,13 +228,12 @@ def neighbour_graph(df: DataFrame, id_col: str, vector_col: str, size: int, k: i
         state = kept.keep(state.mapInArrow(key, _STATE + ", key long").groupBy("key").applyInArrow(join_block, _STATE))
         kept.drop(kept.n - 2)
 
-    shares, turn = [1.0] * TURNS, 0
-    while sum(shares[-TURNS:]) >= settled:
+    turn, share = 0, 1.0
+    while turn < TURNS or share >= settled:
         before = kept.n - 1
-        state = _descend(kept, state, size, k, kind, seed, turn)
+        state = _descend(kept, state, size, k, kind, seed, turn % TURNS)
         kept.drop(*range(before, kept.n - 1))
-        shares.append(state.agg(F.sum("came")).first()[0] / (k * total))
-        turn = (turn + 1) % TURNS
+        turn, share = turn + 1, state.agg(F.sum("came")).first()[0] / (k * total)
     return state.drop("came")
 
 
@@ -390,7 +389,7 @@ def _descend(kept: Kept, state: DataFrame, size: int, k: int, kind, seed: int, t
     def found(groups: dict[int, int] | None = None) -> DataFrame:
         own = state.select("id", "nb", "ns", "new", member.alias("member")).mapInArrow(visit(groups), "cell long, id long, member binary, new boolean")
         guests = state.select("id", "nb", "new").mapInArrow(invite(groups), "x long, cell long, new boolean")
-        guests = guests.join(state.select("id", member.alias("member")), F.col("x") == F.col("id")).select("cell", "id", "member", "new")
+        guests = guests.join(state.select("id", member.alias("member")).hint("shuffle_hash"), F.col("x") == F.col("id")).select("cell", "id", "member", "new")
         met = own.unionByName(guests).repartition(partitions(spark), "cell").sortWithinPartitions("cell")
         return kept.keep(met.mapInArrow(meet(crowd if groups is None else None), "id long, found binary, crowd long"))
 

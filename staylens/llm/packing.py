@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from staylens.llm.common import cut, pick
 
+#: Partitions whose open containers are merged by one task.
+MERGED = 64
+
 
 class _Windows:
     """Open containers by free space: `most` at a time, a new item goes where it leaves least."""
@@ -34,7 +37,7 @@ class _Windows:
         return container
 
 
-def pack(df: DataFrame, id_col: str, size_col: str, capacity: int, windows: int = 64) -> DataFrame:
+def pack(df: DataFrame, id_col: str, size_col: str, capacity: int, windows: int = 64, merged: int = MERGED) -> DataFrame:
     """Put items into containers: (id, piece, start, size, container).
 
     An item larger than the capacity, and no other, is split: into pieces of a full container each
@@ -44,8 +47,10 @@ def pack(df: DataFrame, id_col: str, size_col: str, capacity: int, windows: int
 
     Each partition packs its rows as they come, with a fixed number of open containers, best fit
     first, closing the fullest when none fits. What stays open at the ends, at most `windows` a
-    partition, is then packed in one task as items of their own, the largest first. Containers
-    are numbered by partition; numbers needn't be consecutive.
+    partition, is packed as items of their own, the largest first, `merged` partitions' a task; what
+    is emptiest of it then, at most `windows` again, goes on to the next stage until one task has
+    had all that is left. A task has merged * windows rows at most, whatever the number of items.
+    Containers are numbered by partition; numbers needn't be consecutive.
     """
     rows = pick(df, id=id_col, size=size_col).withColumn("size", F.greatest(F.coalesce(F.col("size").cast("long"), F.lit(0)), F.lit(0)))
     kind = rows.schema["id"].dataType.simpleString()
@@ -72,18 +77,25 @@ def pack(df: DataFrame, id_col: str, size_col: str, capacity: int, windows: int
     batch_type = [to_arrow_type(rows.schema["id"].dataType)]
     placed = cut(rows.mapInArrow(fill, f"id {kind}, piece long, start long, size long, container long, left long"))
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = sorted(((x, c) for b in batches for c, x in zip(b.column("container").to_pylist(), b.column("left").to_pylist(), strict=True)), key=lambda t: (-t[0], t[1]))
-        packer, host = _Windows(capacity, None, 0), []
-        hosts = []
-        for size, c in items:
+    def merge(table: pa.Table) -> pa.Table:
+        items = sorted(zip(table.column("container").to_pylist(), table.column("left").to_pylist(), strict=True), key=lambda t: (-t[1], t[0]))
+        packer, hosts, host = _Windows(capacity, None, 0), [], []
+        for c, size in items:
             at = packer.place(size)
             if at == len(hosts):
                 hosts.append(c)
             host.append(hosts[at])
-        yield pa.RecordBatch.from_arrays([pa.array([c for _, c in items], pa.int64()), pa.array(host, pa.int64())], names=["was", "host"])
-
-    # At most `windows` rows a partition, whatever the number of items: small enough for one task.
-    moved = placed.filter("left is not null").select("container", "left").coalesce(1).mapInArrow(merge, "was long, host long")
-    done = placed.filter("left is null").join(moved, F.col("container") == F.col("was"), "left")
-    return done.select(F.col("id").alias(id_col), F.col("piece").cast("int").alias("piece"), "start", "size", F.coalesce("host", "container").alias("container"))
+        going_on = {hosts[at]: capacity - free for free, at in packer.open[-windows:]}
+        return pa.table({"key": table.column("key"), "was": pa.array([c for c, _ in items], pa.int64()), "host": pa.array(host, pa.int64()), "left": pa.array([going_on.pop(h, None) for h in host], pa.int64())})
+
+    parts = placed.rdd.getNumPartitions()
+    rest = placed.filter("left is not null").select(F.shiftright("container", 33).alias("key"), "container", "left")
+    done = placed.filter("left is null").select("id", "piece", "start", "size", "container")
+    while True:
+        parts = -(-parts // merged)
+        moved = cut(rest.withColumn("key", F.floor(F.col("key") / merged)).groupBy("key").applyInArrow(merge, "key long, was long, host long, left long"))
+        done = done.join(moved.select("was", "host"), F.col("container") == F.col("was"), "left").select("id", "piece", "start", "size", F.coalesce("host", "container").alias("container"))
+        if parts <= 1:
+            break
+        rest = moved.filter("left is not null").select("key", F.col("host").alias("container"), "left")
+    return done.select(F.col("id").alias(id_col), F.col("piece").cast("int").alias("piece"), "start", "size", "container")

@@ -136,12 +136,18 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_weights(spark: SparkSession, folder: str) -> DataFrame:
-    return term_weights(_table(spark, folder, "documents"), "doc_id", ["tokens", "descriptor_tags"])
+    return term_weights(_table(spark, folder, "documents"), "doc_id", ["tokens", "descriptor_tags"]).withColumn("weight", F.round("weight", 6))
+
+
+#: Documents that a distinctive term is in.
+FEW = (2, 4)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    few = F.col("df").between(2, 4) & ((F.col("field") == "descriptor_tags") | (F.col("tf") >= 2))
-    return p6_weights(spark, folder).filter(few).select("doc_id", "field", "term")
+    """The terms whose weight is at least what a term of so few documents can have, then by the counts themselves."""
+    heavy = term_weights(_table(spark, folder, "documents"), "doc_id", ["tokens", "descriptor_tags"], few=FEW[1])
+    exact = F.col("df").between(*FEW) & ((F.col("field") == "descriptor_tags") | (F.col("tf") >= 2))
+    return heavy.filter(exact).select("doc_id", "field", "term")
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,12 +166,16 @@ def p10_repetition(spark: SparkSession, folder: str) -> DataFrame:
     return repetition(_table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_repetition(spark, folder).select("doc_id", "n_words", F.round("repeated_share", 6).alias("repeated_share"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p10_repetition(spark, folder).filter("repetitive >= 0.5 and repeated_share >= 0.5").select("doc_id")
+    return p10_repetition(spark, folder).filter("repetitive >= 0.5").select("doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_languages, p3_found, p3_canonical, p4_found, p4_neighbours, p4_search, p5_found, p5_top, p6_found, p6_weights, p7_found, p7_mapping, p8_ids, p9_found, p9_containers, p10_found, p10_repetition)
+    f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_languages, p3_found, p3_canonical, p4_found, p4_neighbours, p4_search, p5_found, p5_top, p6_found, p6_weights, p7_found, p7_mapping, p8_ids, p9_found, p9_containers, p10_found, p10_repetition, p10_shares)
 }
 
 _HITS = """
@@ -226,5 +236,22 @@ SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b FROM v a JOIN v b ON a.vec_id
 WHERE array_cosine_similarity(a.e, b.e) >= 0.965""",
     "p5_found": _RUNS + "SELECT hotel_id, query_id FROM placed WHERE position <= 3",
     "p5_top": _RUNS + "SELECT hotel_id, query_id, score, position FROM placed WHERE position <= 3",
+    "p6_weights": _TERMS
+    + """,
+lengths AS (SELECT doc_id, field, sum(tf) AS length FROM tf GROUP BY 1, 2),
+totals AS (SELECT field, count(*) AS records, avg(length) AS mean FROM lengths GROUP BY 1),
+parts AS (
+  SELECT doc_id, field, term, tf, df, cf, cf / records AS m, tf * log2(1 + mean / length) AS tfn
+  FROM tf JOIN stats USING (field, term) JOIN lengths USING (doc_id, field) JOIN totals USING (field))
+SELECT doc_id, field, term, tf, df, cf, round((log2(1 + m) + tfn * log2((1 + m) / m)) / (tfn + 1), 6) AS weight FROM parts""",
+    "p10_shares": """
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(regexp_replace(lower(nfc_normalize(coalesce(text, ''))), '([\\p{Han}\\p{Hiragana}\\p{Katakana}])', ' \\1 ', 'g'), '[\\p{L}\\p{M}\\p{N}]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+runs AS (SELECT doc_id, i, CASE WHEN i + 3 <= len(w) THEN array_to_string(w[i:i + 3], ' ') END AS run FROM starts),
+again AS (SELECT doc_id, i, run IS NOT NULL AND i > min(i) OVER (PARTITION BY doc_id, run) AS again FROM runs),
+lying AS (SELECT doc_id, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS lies FROM again),
+shares AS (SELECT doc_id, count(*) FILTER (lies) / count(*) AS share FROM lying GROUP BY 1)
+SELECT doc_id, cast(len(w) AS int) AS n_words, round(coalesce(share, 0.0), 6) AS repeated_share FROM words LEFT JOIN shares USING (doc_id)""",
     "p6_found": _TERMS + "SELECT doc_id, field, term FROM tf JOIN stats USING (field, term) WHERE df BETWEEN 2 AND 4 AND (field = 'descriptor_tags' OR tf >= 2)",
 }

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.common import pick, usable
+from staylens.llm.common import partitions, pick, usable
 from staylens.llm.positions import positions
 
 
@@ -58,28 +58,38 @@ def majority_leaders(fused: DataFrame, group: str, item: str, scores: int) -> Da
     """The item of each group that is ahead of every other one: (group, item), at most one a group.
 
     Of two items one is ahead if it has the better rank in more scores than the worse, counting
-    only scores that both have. Input is what fuse() gives. Whoever leads wins every meeting, so
-    knock-out rounds within batches, then over the batches' winners, leave at most one candidate a
-    group, which is then compared with all items of the group once: linear, never all pairs.
-    A group of one item has that item as its leader.
+    only scores that both have. Input is what fuse() gives, and its fused order says who meets
+    whom: the best of a group is the first candidate, neighbours in that order meet, and who isn't
+    ahead goes out. Whoever leads wins every meeting, so at most one candidate is left in each
+    partition that a group lies in, in sorted order and reading each once; these meet again by
+    group. The last one is then compared with all items of the group: linear, never all pairs. A
+    group of one item has that item as its leader.
     """
     cols = [f"rank_{i}" for i in range(scores)]
-    rows = pick(fused, g=group, item=item, **{c: c for c in cols})
+    rows = pick(fused, g=group, item=item, position="position", **{c: c for c in cols})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # who is left of the group that the batch before ended in
         for batch in batches:
-            if batch.num_rows:
-                keys = batch.column("g").dictionary_encode()
-                codes = keys.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-                ranks = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in cols])
-                order = np.argsort(codes, kind="stable")
-                yield batch.take(pa.array(order[_knock_out(codes[order], ranks[order])]))
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            keys = batch.column("g").dictionary_encode()
+            codes = keys.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            ranks = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in cols])
+            order = np.lexsort((batch.column("position").to_numpy(), codes))
+            left = order[_knock_out(codes[order], ranks[order])]
+            going_on = codes[left] == codes[-1]
+            yield batch.take(pa.array(left[~going_on]))
+            held = batch.take(pa.array(left[going_on]))
+        if held is not None:
+            yield held
 
-    schema = rows.schema
-    one = rows.mapInArrow(meet, schema)
-    # Winners of batches: rows / batch size of a group, so a group's rest is small; nulls group together here.
-    two = one.groupBy("g").applyInArrow(lambda t: pa.Table.from_batches(list(meet(iter(t.combine_chunks().to_batches()))), schema=t.schema), schema)
-    best = two.select(F.col("g").alias("bg"), F.col("item").alias("best"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    some = rows.mapInArrow(meet, rows.schema)
+    # What is left is one row for each group and partition.
+    some = some.repartition(partitions(fused.sparkSession), "g").sortWithinPartitions("g", "position").mapInArrow(meet, rows.schema)
+    best = some.select(F.col("g").alias("bg"), F.col("item").alias("best"), *[F.col(c).alias(f"b_{c}") for c in cols])
     lead = sum((F.coalesce(F.signum(F.col(c) - F.col(f"b_{c}")), F.lit(0.0)) for c in cols), F.lit(0.0))
     ahead = F.max(F.when(~F.col("item").eqNullSafe(F.col("best")) & (lead <= 0), 1).otherwise(0))
     done = rows.join(best, F.col("g").eqNullSafe(F.col("bg"))).groupBy("g", "best").agg(ahead.alias("beaten")).filter("beaten = 0")

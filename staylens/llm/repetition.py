@@ -27,18 +27,21 @@ def words(text: str) -> list[str]:
     return _WORD.findall(unicodedata.normalize("NFC", text).casefold())
 
 
-def repeated_share(tokens: list[str], run: int = RUN) -> float:
+def repeated_share(tokens: list, run: int = RUN) -> float:
     """Share of the words that lie in a run of `run` words which has already begun earlier."""
     n = len(tokens)
     if n <= run:
         return 0.0
-    seen: dict[tuple, int] = {}
-    begins = np.zeros(n + 1, np.int64)
-    for i, gram in enumerate(zip(*[tokens[j:] for j in range(run)])):
-        if seen.setdefault(gram, i) != i:
-            begins[i] += 1
-            begins[min(n, i + run)] -= 1
-    return float(np.count_nonzero(np.cumsum(begins[:n]))) / n
+    numbers: dict = {}
+    codes = [numbers.setdefault(t, len(numbers)) for t in tokens]
+    seen: set[tuple] = set()
+    lies = bytearray(n)
+    for i, gram in enumerate(zip(*[codes[j:] for j in range(run)])):
+        if gram in seen:
+            lies[i : i + run] = b"\x01" * run
+        else:
+            seen.add(gram)
+    return lies.count(1) / n
 
 
 def _again(parts: list[str]) -> float:
@@ -54,7 +57,7 @@ def _again(parts: list[str]) -> float:
 FEATURES = ["n_words", "repeated_share", "sentence_share", "paragraph_share", "distinct_share", "packed_share"]
 #: The rules: feature, votes repetitive from here on, votes fine up to here (the other way round where the first is less; None: never, as few whole sentences or paragraphs repeat even in a text that goes in circles), least words. Fixed values of this operator.
 RULES = [
-    ("repeated_share", 0.5, 0.25, 1),
+    ("repeated_share", 0.6, 0.4, 1),
     ("sentence_share", 0.4, None, 12),
     ("paragraph_share", 0.4, None, 40),
     ("distinct_share", 0.35, 0.7, 20),
@@ -62,14 +65,22 @@ RULES = [
 ]
 
 
+def _parts(tokens: list[str], begins: np.ndarray, text: str, mark: regex.Pattern) -> list[str]:
+    """The words between the places where a mark ends, as one string each."""
+    ends = [m.end() for m in mark.finditer(text)]
+    at = [0, *np.unique(np.searchsorted(begins, ends)).tolist(), len(tokens)]
+    return [" ".join(tokens[a:b]) for a, b in zip(at, at[1:])]
+
+
 def measure(text: str | None) -> tuple:
-    tokens = words(text) if text else []
-    if not tokens:
+    """The features of a text, whose words are cut once for all of them."""
+    text = unicodedata.normalize("NFC", text).casefold() if text else ""
+    found = list(_WORD.finditer(text))
+    if not found:
         return (0, 0.0, 0.0, 0.0, None, None)
+    tokens, begins = [m[0] for m in found], np.array([m.start() for m in found])
     joined = " ".join(tokens).encode()
-    sentences = [" ".join(words(s)) for s in _SENTENCE.split(text)]
-    paragraphs = [" ".join(words(p)) for p in _PARAGRAPH.split(text)]
-    return (len(tokens), repeated_share(tokens), _again(sentences), _again(paragraphs), len(set(tokens)) / len(tokens), len(zlib.compress(joined, 1)) / len(joined))
+    return (len(tokens), repeated_share(tokens), _again(_parts(tokens, begins, text, _SENTENCE)), _again(_parts(tokens, begins, text, _PARAGRAPH)), len(set(tokens)) / len(tokens), len(zlib.compress(joined, 1)) / len(joined))
 
 
 def _votes() -> list:

@@ -10,8 +10,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark import SparkFiles, TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from staylens.llm.common import cut, partitions, pick
@@ -21,11 +21,27 @@ TOKENIZERS = "/opt/tokenizers"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _file(folder: str, name: str) -> str:
+    """A file of the vocabulary: as it was sent to this executor, else in its folder."""
+    sent = SparkFiles.get(name) if SparkFiles._is_running_on_worker else ""
+    return sent if os.path.exists(sent) else os.path.join(folder, name)
+
+
+def _send(spark: SparkSession, folder: str, name: str) -> None:
+    """Send the files of a vocabulary to the executors, once a session: they needn't have the folder."""
+    sc = spark.sparkContext
+    sent = sc.__dict__.setdefault("_staylens_vocabularies", set())
+    if (folder, name) not in sent:
+        for file in (f"{name}.tiktoken", f"{name}.json"):
+            sc.addFile(os.path.join(folder, file))
+        sent.add((folder, name))
+
+
 @lru_cache(maxsize=4)
 def _encoder(folder: str, name: str):
     import tiktoken
 
-    with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as file:
+    with open(_file(folder, f"{name}.tiktoken"), "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -34,7 +50,7 @@ def _encoder(folder: str, name: str):
 def _splitter(folder: str, name: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(os.path.join(folder, f"{name}.json")).pre_tokenizer
+    return Tokenizer.from_file(_file(folder, f"{name}.json")).pre_tokenizer
 
 
 def decode(ids: list[int], folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> str:
@@ -78,6 +94,7 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, folder: str = TOKEN
     pieces are put in a row. A text in which some neighbours share no boundary (one unbroken run
     longer than the overlap) is encoded whole.
     """
+    _send(df.sparkSession, folder, name)
     rows = pick(df, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()
     long = F.length("text") > chunk

@@ -120,6 +120,19 @@ def test_gazetteer(index, value):
     assert index.find(value) == VALUES[value]
 
 
+SETS = {
+    "Rêu Trà": 1, "reu tra": 1, "Dẻ Suối": 2, "Bứa Gò": 3, "Mỹ Khê Tân": 4, "Khê Mỹ": 4, "Tân Khê": 4, "Khê Tân đẹp Mỹ": 4, "Mỹ Khê Tan biển xanh": 4, "khê mỹ tân tân": 4, "Pass Mist": 2, "Quỳnk Trầm": 7, "Trầm Quỳnk": 7,
+    # One word of two, words of several names, words that two entries share alike, too much besides.
+    "Trà": -1, "Trà Suối": -1, "Gò Dẻ": -1, "Sim Đồng": 6, "Tia Sim Dông": 5, "Tía Sim Đồng": 6, "tia sim dong": -1, "Khê đẹp nhất vùng này": -1, "Rêu xanh đỏ Trà vàng": -1, "x y": -1,
+}
+
+
+@pytest.mark.parametrize("value", SETS)
+def test_names_by_their_words_as_sets(value):
+    entries = [(1, "Trà Rêu", []), (2, "Suối Dẻ", ["Mist Pass"]), (3, "Gò Bứa", []), (4, "Tân Mỹ Khê", None), (5, "Dông Sim Tia", []), (6, "Đồng Sim Tía", []), (7, "Quỳnh Trầm", [])]
+    assert G.Gazetteer(entries).find(value) == SETS[value]
+
+
 @pytest.mark.parametrize(("a", "b", "near"), [("abc", "abc", True), ("abc", "acb", True), ("abc", "ab", True), ("abc", "abcd", True), ("abc", "adc", True), ("abc", "cba", False), ("abcd", "badc", False), ("", "a", True), ("", "ab", False)])
 def test_one_edit(a, b, near):
     assert G.one_edit(a, b) is near and G.one_edit(b, a) is near
