@@ -45,5 +45,5 @@ class Engine:
 
     def latency(self, log: DataFrame, value: str = "ms") -> dict:
         """Count, mean and 95th percentile of logged times."""
-        row = evaluation.latency(log.withColumn("_all", F.lit(1)), ["_all"], value).drop("_all").first()
+        row = evaluation.latency(log, [], value).first()
         return row.asDict() if row else {"n": 0}

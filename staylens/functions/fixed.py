@@ -137,3 +137,31 @@ UNWANTED = {
     "good_service": ["dịch_vụ", "phục_vụ"],
     "ambiance": ["đẹp", "decor", "hiện_đại", "sống_ảo", "chụp_hình"],
 }
+#: Names of synonyms and the intents that they belong to.
+SYNONYM_INTENTS = {
+    "sạch sẽ": "cleanliness", "sạch": "cleanliness", "vệ sinh tốt": "cleanliness", "gọn gàng": "cleanliness",
+    "yên tĩnh": "quiet_room", "ít ồn": "quiet_room", "tĩnh lặng": "quiet_room", "riêng tư": "quiet_room",
+    "hồ bơi": "pool", "bể bơi": "pool", "pool": "pool", "swimming pool": "pool",
+    "giá rẻ": "value", "bình dân": "value", "giá mềm": "value", "giá tốt": "value", "tiết kiệm": "value",
+    "buffet sáng": "food_quality", "ăn sáng buffet": "food_quality", "bữa sáng buffet": "food_quality",
+    "gần trung tâm": "near_center", "ngay trung tâm": "near_center", "sát trung tâm": "near_center", "thuận tiện đi lại": "near_center",
+    "gia đình": "family", "cho trẻ em": "family", "đi cùng con nhỏ": "family",
+    "cặp đôi": "couple", "honeymoon": "couple", "lãng mạn": "couple",
+    "công tác": "business", "business": "business", "đi công tác": "business",
+    "cao cấp": "luxury", "sang trọng": "luxury", "upscale": "luxury",
+    "thân thiện": "good_service", "nhiệt tình": "good_service", "hiếu khách": "good_service",
+    "gần sân bay": "airport", "sát sân bay": "airport",
+    "bãi đậu xe": "convenience", "chỗ đậu xe": "convenience", "parking": "convenience", "đỗ xe": "convenience",
+    "view đẹp": "view", "view biển": "view", "view núi": "view", "cảnh đẹp": "view", "góc nhìn đẹp": "view",
+}
+#: Parts of a context that make it negative whatever else it says.
+STRONG_NEGATIVE = ["gián", "chuột", "rận", "bọ", "muỗi", "ruồi", "nhện", "mối", "mọt", "phân", "nước tiểu", "mùi hôi", "thối", "khủng khiếp", "kinh khủng", "ghê tởm", "ghê", "sợ", "ác mộng", "ám ảnh"]
+
+#: Kinds of lodging as linked data declares them.
+DECLARED_LODGING = {
+    "hotel": "hotel", "homestay": "homestay", "resort": "resort", "villa": "villa", "hostel": "hostel", "guesthouse": "guesthouse",
+    "boutiquehotel": "boutique_hotel", "boutique_hotel": "boutique_hotel", "boutique hotel": "boutique_hotel",
+    "aparthotel": "aparthotel", "apartmenthotel": "aparthotel", "apartment hotel": "aparthotel", "apartment": "aparthotel",
+}
+#: Parts of an address in linked data, in order.
+ADDRESS_PARTS = ["streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry"]

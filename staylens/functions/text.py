@@ -17,14 +17,12 @@ def words_array(values: Iterable[str]) -> Column:
 
 
 def contains_any(text: Column, phrases: Iterable[str]) -> Column:
-    """Whether any phrase is a part of the text."""
-    out = F.lit(False)
-    for phrase in phrases:
-        out = out | text.contains(phrase)
-    return out
+    """Whether any phrase is a part of the text. One pattern, so that the text is worked out and read once."""
+    quoted = ["\\Q" + phrase.replace("\\E", "\\E\\\\E\\Q") + "\\E" for phrase in phrases]
+    return text.rlike("|".join(quoted)) if quoted else F.lit(False)
 
 
-def strip(text: Column) -> Column:
+def strip(text: Column | str) -> Column:
     """Without white space at both ends, of any kind."""
     return F.regexp_replace(text, f"^{_WS}+|{_WS}+$", "")
 
@@ -97,6 +95,11 @@ def positive_tags(tags: Column) -> Column:
     return F.filter(some, lambda t: ~is_negative_tag(t))
 
 
+def kept_tags(tags: Column) -> Column:
+    """Tags as they are written, without the negative ones."""
+    return F.filter(F.coalesce(tags, F.array().cast("array<string>")), lambda t: ~is_negative_tag(t))
+
+
 def document_text(types: Column, location: Column, category_tags: Column, descriptor_tags: Column, review: Column) -> Column:
     """The text that a document is embedded by: its filled parts, named, joined by full stops."""
 
@@ -107,7 +110,7 @@ def document_text(types: Column, location: Column, category_tags: Column, descri
         value = strip(F.coalesce(value, F.lit("")))
         return F.when(value != "", F.concat(F.lit(name), value))
 
-    return F.concat_ws(". ", listed("Types: ", types), said("Location: ", location), listed("Category tags: ", positive_tags(category_tags)), listed("Descriptor tags: ", positive_tags(descriptor_tags)), said("Review: ", review))
+    return F.concat_ws(". ", listed("Types: ", types), said("Location: ", location), listed("Category tags: ", kept_tags(category_tags)), listed("Descriptor tags: ", kept_tags(descriptor_tags)), said("Review: ", review))
 
 
 def suggestions(query: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from staylens.session import cut
+
 
 def metrics(run: DataFrame, grades: DataFrame, queries: DataFrame, k: int = 10, strong: int = 2) -> DataFrame:
     """(system, query, precision, recall, ap, ap_k, ndcg, mrr, strong_precision, strong_recall) for every query and system.
@@ -81,14 +83,27 @@ def run_lines(run: DataFrame) -> DataFrame:
 def latency(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """(group, n, mean, p95, most): p95 is the value at place int(0.95 * (n - 1)) in order, from 0.
 
-    The places come from counts of equal values, summed up, so that no group is gathered.
+    Exact, and no group is gathered: counts of equal values are range-sorted over the cluster, the
+    parts' sums tell which part of a group has the place, and only that part is counted through.
+    Groups may be named by no column at all; then all rows are one. Null values don't count.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("c"))
-    order = Window.partitionBy(*group).orderBy(value)
-    running = counted.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    totals = counted.groupBy(*group).agg(F.sum("c").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"), F.max(value).alias("most"))
-    rows = running.join(totals, group)
-    return rows.filter(F.col("upto") > F.floor(0.95 * (F.col("n") - 1))).groupBy(*group, "n", "mean", "most").agg(F.min(value).alias("p95"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(counted.repartitionByRange(parts, *group, value).withColumn("part", F.spark_partition_id()))
+    # One row for each group and part that it lies in.
+    held = ranged.groupBy(*group, "part").agg(F.sum("c").alias("c"), F.sum(F.col(value) * F.col("c")).alias("total"), F.max(value).alias("most"))
+    whole = Window.partitionBy(*group)
+    held = held.select(*group, "part", F.sum("c").over(whole).alias("n"), F.sum("total").over(whole).alias("total"), F.max("most").over(whole).alias("most"), (F.sum("c").over(whole.orderBy("part")) - F.col("c")).alias("before"), F.col("c").alias("own"))
+    place = F.floor(0.95 * (F.col("n") - 1))
+    hit = held.filter((F.col("before") <= place) & (place < F.col("before") + F.col("own")))
+    hit = hit.select(F.col("part").alias("_part"), *[F.col(name).alias(f"_{name}") for name in group], "n", "total", "most", "before")
+    same = F.col("part") == F.col("_part")
+    for name in group:
+        same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
+    rows = ranged.join(hit, same).select(*group, "n", "total", "most", "before", value, "c")
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("upto", upto).filter(F.col("upto") > place)
+    return rows.groupBy(*group, "n", "total", "most").agg(F.min(value).alias("p95")).select(*group, "n", (F.col("total") / F.col("n")).alias("mean"), "p95", "most")
 
 
 def label_by_rules(query: Column, name: Column, location: Column, reviews: Column, rank: Column, types: dict[str, list[str]], places: dict[str, list[str]], wishes: dict[str, list[str]]) -> Column:
@@ -156,3 +171,43 @@ def changes(now: DataFrame, before: DataFrame, key: str, tolerances: dict[str, f
         part = a.join(b, key).select(key, F.lit(value).alias("value"), "before", "now", within.alias("within"))
         parts = part if parts is None else parts.unionByName(part)
     return parts
+
+
+def pool_three(lexical: DataFrame, dense: DataFrame, docs: DataFrame, hotel: str, bm25_weight: float = 0.6, vector_weight: float = 0.4, k: int = 10) -> DataFrame:
+    """(query, hotel, bm25_rank, vector_rank, hybrid_rank): the hotels to be judged, from three systems.
+
+    lexical and dense are the k best reviews of each query, with rank and a score divided by the
+    query's best. A hotel's rank in one of them is that of its last review. The third system adds
+    a hotel's reviews up in both, weighs the sums and takes the k best hotels.
+    """
+
+    def by_hotel(rows: DataFrame, score: str) -> DataFrame:
+        own = rows.join(docs.select("doc", hotel), "doc").filter(F.col(hotel).isNotNull())
+        return own.groupBy("query", hotel).agg(F.sum(score).alias(score), F.max("rank").alias(f"{score}_rank"))
+
+    rows = by_hotel(lexical, "bm25").join(by_hotel(dense, "vector"), ["query", hotel], "full_outer")
+    rows = rows.withColumn("hybrid", bm25_weight * F.coalesce("bm25", F.lit(0.0)) + vector_weight * F.coalesce("vector", F.lit(0.0)))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.round("hybrid", 9).desc(), hotel))
+    return rows.withColumn("n", rank).select("query", hotel, "bm25_rank", "vector_rank", F.when(F.col("n") <= k, F.col("n")).alias("hybrid_rank"))
+
+
+def ndcg_of_list(ranking: DataFrame, grades: DataFrame, k: int = 10) -> DataFrame:
+    """(system, query, ndcg): nDCG whose ideal is the best order of the ranked list itself."""
+    rows = ranking.join(grades.select("query", "doc", "grade"), ["query", "doc"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
+    ideal = F.row_number().over(Window.partitionBy("system", "query").orderBy(F.col("grade").desc(), "doc"))
+    gain = lambda at: F.sum(F.when(F.col(at) <= k, F.col("grade") / F.log2(F.col(at) + 1)).otherwise(0.0))
+    sums = rows.withColumn("ideal", ideal).groupBy("system", "query").agg(gain("rank").alias("dcg"), gain("ideal").alias("idcg"))
+    return sums.select("system", "query", F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"))
+
+
+def label_counts(labels: DataFrame, label: str, group: list[str] | None = None) -> DataFrame:
+    """(group, pairs, relevant, percent): how many of the judged pairs are relevant."""
+    return labels.groupBy(*(group or [])).agg(F.count("*").alias("pairs"), F.sum(F.col(label).cast("long")).alias("relevant"), (100 * F.avg(F.col(label).cast("double"))).alias("percent"))
+
+
+def no_result_rate(run: DataFrame, queries: DataFrame) -> DataFrame:
+    """(system, queries, no_result): the share of the queries for which a system of the run finds nothing."""
+    asked = queries.select("query").distinct()
+    found = run.join(asked, "query", "left_semi").groupBy("system").agg(F.countDistinct("query").alias("found"))
+    n = asked.agg(F.count("*").alias("queries"))  # one row
+    return found.join(F.broadcast(n)).select("system", "queries", (1 - F.col("found") / F.col("queries")).alias("no_result"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from staylens.plans import search_queries, text_queries
+from staylens.plans import evaluation_queries, io_queries, search_queries, text_queries
 
-QUERIES = text_queries.QUERIES | search_queries.QUERIES
-ORACLE = text_queries.ORACLE | search_queries.ORACLE
+QUERIES = text_queries.QUERIES | search_queries.QUERIES | evaluation_queries.QUERIES | io_queries.QUERIES
+ORACLE = text_queries.ORACLE | search_queries.ORACLE | evaluation_queries.ORACLE | io_queries.ORACLE
 FLAGSHIP = search_queries.hybrid_search

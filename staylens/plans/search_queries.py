@@ -9,9 +9,12 @@ from staylens.functions import fixed, lexicon, text
 from staylens.operators import bm25, evaluation, search, store, understanding, vectors
 from staylens.plans import vocabulary
 from staylens.plans.sql import any_of, array, normalized, tokens_of
+from staylens.sources.readers import samples_by_key
 from staylens.plans.text_queries import _PLACES, _places, _positive, table
 from staylens.streaming import ingest
 
+#: Hits of each side that are fused.
+POOL = search.Settings.pool
 #: Searches ask for every row whose number is divisible by this, against all rows.
 EVERY = 50
 ALIASES, KEYWORDS = lexicon.aliases(vocabulary.LOCATIONS), lexicon.keywords(vocabulary.LOCATIONS)
@@ -70,8 +73,8 @@ def _latest_results(spark, folder):
 
 def hybrid_full_outer(spark, folder):
     rows = _latest_results(spark, folder).select(F.col("query_id").alias("query"), F.col("source_hotel_id").alias("doc"), "vector_score", "bm25_score")
-    lexical = bm25.top(rows.withColumn("bm25", F.col("bm25_score")), "query", "bm25", "doc", 10)
-    dense = bm25.top(rows.withColumn("vector", F.col("vector_score")), "query", "vector", "doc", 10)
+    lexical = bm25.top(rows.withColumn("bm25", F.col("bm25_score")), "query", "bm25", "doc", POOL)
+    dense = bm25.top(rows.withColumn("vector", F.col("vector_score")), "query", "vector", "doc", POOL)
     fused = search.fuse(lexical, dense)
     return fused.select("query", "doc", *[F.round(c, 6).alias(c) for c in ("bm25", "vector", "hybrid")])
 
@@ -204,16 +207,22 @@ _TYPES = {"resort": ["resort"], "khách sạn": ["khách sạn", "hotel"], "vill
 _AMENITIES = {"wifi": ["wifi"], "hồ bơi": ["hồ bơi", "pool"], "biển": ["biển", "bãi"]}
 
 
+def _said(spark, folder):
+    """(source_hotel_id, said): the beginnings of the first three reviews of each hotel, as pools show them."""
+    rows = samples_by_key(table(spark, folder, "documents").filter("source_hotel_id is not null"), "source_hotel_id", "text", ["doc_id"])
+    return rows.groupBy("source_hotel_id").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("text", F.lit("")).alias("text")))).alias("s")).select("source_hotel_id", F.col("s.text").alias("said"))
+
+
 def relevance_label(spark, folder):
-    hits = _latest_results(spark, folder).join(table(spark, folder, "queries"), "query_id").join(_hybrid_run(spark, folder).select(F.col("query").alias("query_id"), F.col("doc").alias("source_hotel_id"), "rank"), ["query_id", "source_hotel_id"])
+    hits = _latest_results(spark, folder).join(table(spark, folder, "queries"), "query_id").join(_hybrid_run(spark, folder).select(F.col("query").alias("query_id"), F.col("doc").alias("source_hotel_id"), "rank"), ["query_id", "source_hotel_id"]).join(_said(spark, folder), "source_hotel_id", "left")
     places = {k.replace("_", " "): v for k, v in KEYWORDS.items()}
-    label = evaluation.label_by_rules(F.col("query"), F.col("hotel_name"), F.col("location"), F.col("location"), F.col("rank"), _TYPES, places, _AMENITIES)
+    label = evaluation.label_by_rules(F.col("query"), F.col("hotel_name"), F.col("location"), F.array_join("said", " "), F.col("rank"), _TYPES, places, _AMENITIES)
     return hits.select("query_id", "source_hotel_id", "rank", label.alias("relevant"))
 
 
 def relevance_points(spark, folder):
-    hits = _latest_results(spark, folder).join(table(spark, folder, "queries"), "query_id")
-    label = evaluation.label_by_points(F.col("query"), F.col("hotel_name"), F.col("location"), F.array("location"), KEYWORDS, _TYPES, _AMENITIES, denied={"biển": ["xa biển"]}, missing={"wifi": ["wifi"]})
+    hits = _latest_results(spark, folder).join(table(spark, folder, "queries"), "query_id").join(_said(spark, folder), "source_hotel_id", "left")
+    label = evaluation.label_by_points(F.col("query"), F.col("hotel_name"), F.col("location"), F.col("said"), KEYWORDS, _TYPES, _AMENITIES, denied={"biển": ["xa biển"]}, missing={"wifi": ["wifi"]})
     return hits.select("query_id", "source_hotel_id", label.alias("relevant"))
 
 
@@ -277,10 +286,11 @@ def _points(groups: dict, name: int, textual: int, first: str, second: str) -> s
     return " + ".join(f"CASE WHEN contains(lower(query), '{k}') AND {any_of(a, words)} THEN {x} WHEN contains(lower(query), '{k}') AND {any_of(b, words)} THEN {y} ELSE 0 END" for k, words in groups.items())
 
 
-_PLACE = ", ".join(f"CASE WHEN {any_of('q', w)} THEN CASE WHEN {any_of('l', w)} OR {any_of('n', w)} THEN 2.0 ELSE 0.0 END END" for w in KEYWORDS.values())
+_PLACE = ", ".join(f"CASE WHEN {any_of('q', w)} THEN CASE WHEN {any_of('l', w)} OR {any_of('n', w)} THEN 2.0 WHEN {any_of('r', w)} THEN 1.0 ELSE 0.0 END END" for w in KEYWORDS.values())
 _KIND = " + ".join(f"CASE WHEN {any_of('q', w)} AND {any_of('n', w)} THEN 1.0 ELSE 0.0 END" for w in _TYPES.values())
-_WISH = " + ".join(f"CASE WHEN {any_of('q', w)} THEN CASE WHEN {any_of('n', w)} THEN 1.0 WHEN {any_of('l', w)} THEN 0.5 ELSE 0.0 END ELSE 0.0 END" for w in _AMENITIES.values())
-_N, _T = "lower(coalesce(hotel_name, ''))", "lower(coalesce(location, ''))"
+_WISH = " + ".join(f"CASE WHEN {any_of('q', w)} THEN CASE WHEN {any_of('n', w)} THEN 1.0 WHEN {any_of('r', w)} THEN 0.5 ELSE 0.0 END ELSE 0.0 END" for w in _AMENITIES.values())
+_N, _T = "lower(coalesce(hotel_name, ''))", "lower(said)"
+_SAID = "s AS (SELECT source_hotel_id, list(coalesce(substr(text, 1, 200), '') ORDER BY doc_id) AS said FROM (SELECT * FROM documents WHERE source_hotel_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_hotel_id ORDER BY doc_id) <= 3) GROUP BY 1)"
 _LABEL = " + ".join([_points(_TYPES, 3, 1, _N, _T), _points({k.replace("_", " "): v for k, v in KEYWORDS.items()}, 3, 1, _N, _T), _points(_AMENITIES, 2, 1, _T, _N)])
 _ORDERED = "list_transform(list_filter(list_zip({0}, range(1, len({0}) + 1)), lambda x: list_position({0}, x[1]) = x[2]), lambda x: x[1])"
 _OVERLAP = "len(list_intersect({}, {})) > 0"
@@ -310,8 +320,8 @@ SELECT query, source_hotel_id, round(sum(s) FILTER (n <= 5), 6) AS score, round(
 s AS (SELECT a.vec_id AS query, b.vec_id AS doc, list_dot_product(a.e, b.e) AS s FROM v a, v b WHERE a.vec_id % {EVERY} = 0 AND a.vec_id <> b.vec_id)
 SELECT query, doc, round(s::double, 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, doc) <= 10""",
     "hybrid_full_outer": f"""WITH {_RESULTS},
-a AS (SELECT query_id AS query, source_hotel_id AS doc, bm25_score AS x FROM res WHERE bm25_score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, source_hotel_id) <= 10),
-b AS (SELECT query_id AS query, source_hotel_id AS doc, vector_score AS x FROM res WHERE vector_score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC, source_hotel_id) <= 10),
+a AS (SELECT query_id AS query, source_hotel_id AS doc, bm25_score AS x FROM res WHERE bm25_score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, source_hotel_id) <= {POOL}),
+b AS (SELECT query_id AS query, source_hotel_id AS doc, vector_score AS x FROM res WHERE vector_score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC, source_hotel_id) <= {POOL}),
 an AS (SELECT query, doc, x / max(x) OVER (PARTITION BY query) AS x FROM a), bn AS (SELECT query, doc, x / max(x) OVER (PARTITION BY query) AS x FROM b),
 f AS (SELECT query, doc, coalesce(an.x, 0) AS bm25, coalesce(bn.x, 0) AS vector FROM an FULL JOIN bn USING (query, doc))
 SELECT query, doc, round(bm25, 6) AS bm25, round(vector, 6) AS vector, round(0.6 * vector + 0.4 * bm25, 6) AS hybrid FROM f WHERE 0.6 * vector + 0.4 * bm25 > 0""",
@@ -344,10 +354,10 @@ SELECT query_id, core AS core_tokens, place AS detected_location, list_filter(co
     "run_file": f"WITH {_RUN} SELECT cast(query[2:] AS bigint) AS number, rank, concat_ws(chr(9), query, rank, doc, printf('%.6f', score)) AS line FROM run WHERE rank <= 20",
     "latency_p95": "WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, n, round(avg(value), 4) AS mean, min(value) FILTER (i = floor(0.95 * (n - 1))) AS p95, max(value) AS most FROM o GROUP BY 1, 2",
     "rolling_500": "SELECT event_id, cast(sum(cast(value AS decimal(18,4))) OVER w AS double) / count(value) OVER w AS rolling FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW)",
-    "relevance_label": f"WITH {_RESULTS}, {_HYBRID}, j AS (SELECT query_id, source_hotel_id, hotel_name, location, queries.query AS query, hyb.rank AS rank FROM res JOIN queries USING (query_id) JOIN hyb ON hyb.query = query_id AND doc = source_hotel_id) SELECT query_id, source_hotel_id, rank, CASE WHEN {_LABEL} + CASE WHEN rank <= 3 THEN 2 WHEN rank <= 5 THEN 1 ELSE 0 END + CASE WHEN len(list_distinct(list_filter(string_split_regex(lower(query), ' +'), lambda t: t <> ''))) <= 3 THEN 1 ELSE 0 END >= 2 THEN 1 ELSE 0 END AS relevant FROM j",
-    "relevance_points": f"""WITH {_RESULTS}, j AS (SELECT query_id, source_hotel_id, lower(coalesce(query, '')) AS q, lower(coalesce(hotel_name, '')) AS n, lower(coalesce(location, '')) AS l FROM res JOIN queries USING (query_id))
-SELECT query_id, source_hotel_id, CASE WHEN coalesce({_PLACE}, 0.0) + {_KIND} + {_WISH} - CASE WHEN {any_of('q', _AMENITIES['biển'])} AND contains(l, 'xa biển') THEN 1.0 ELSE 0.0 END
-  - CASE WHEN contains(q, 'wifi') AND NOT contains(l, 'wifi') AND NOT contains(n, 'wifi') THEN 0.5 ELSE 0.0 END
+    "relevance_label": f"WITH {_RESULTS}, {_HYBRID}, {_SAID}, j AS (SELECT query_id, source_hotel_id, hotel_name, coalesce(array_to_string(said, ' '), '') AS said, queries.query AS query, hyb.rank AS rank FROM res JOIN queries USING (query_id) JOIN hyb ON hyb.query = query_id AND doc = source_hotel_id LEFT JOIN s USING (source_hotel_id)) SELECT query_id, source_hotel_id, rank, CASE WHEN {_LABEL} + CASE WHEN rank <= 3 THEN 2 WHEN rank <= 5 THEN 1 ELSE 0 END + CASE WHEN len(list_distinct(list_filter(string_split_regex(lower(query), ' +'), lambda t: t <> ''))) <= 3 THEN 1 ELSE 0 END >= 2 THEN 1 ELSE 0 END AS relevant FROM j",
+    "relevance_points": f"""WITH {_RESULTS}, {_SAID}, j AS (SELECT query_id, source_hotel_id, lower(coalesce(query, '')) AS q, lower(coalesce(hotel_name, '')) AS n, lower(coalesce(location, '')) AS l, lower(coalesce(array_to_string(said, chr(1)), '')) AS r FROM res JOIN queries USING (query_id) LEFT JOIN s USING (source_hotel_id))
+SELECT query_id, source_hotel_id, CASE WHEN coalesce({_PLACE}, 0.0) + {_KIND} + {_WISH} - CASE WHEN {any_of('q', _AMENITIES['biển'])} AND contains(r, 'xa biển') THEN 1.0 ELSE 0.0 END
+  - CASE WHEN contains(q, 'wifi') AND NOT contains(r, 'wifi') AND NOT contains(n, 'wifi') THEN 0.5 ELSE 0.0 END
   + CASE WHEN len(list_filter(string_split_regex(q, '\\s+'), lambda t: t <> '')) > 10 AND len(list_intersect(string_split_regex(q, '\\s+'), list_filter(string_split_regex(n, '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> ''))) >= 2 THEN 1.0 ELSE 0.0 END >= 1 THEN 1 ELSE 0 END AS relevant FROM j""",
     "stream_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS events, round(sum(value), 4) AS total FROM (SELECT DISTINCT event_id, ts, event_type, value FROM events) GROUP BY 1, 2",
 }

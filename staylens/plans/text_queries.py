@@ -224,6 +224,11 @@ def _positive(tags: str) -> str:
     return f"list_filter(list_transform(coalesce({tags}, []), lambda t: replace(lower(trim(t)), ' ', '_')), lambda t: t <> '' AND {bad} AND NOT list_contains({array(fixed.NEGATIVE_TAGS)}, t))"
 
 
+def _as_written(tags: str) -> str:
+    bad = " AND ".join([f"NOT starts_with(lower(trim(t)), '{p}')" for p in fixed.NEGATIVE_PREFIXES])
+    return f"list_filter(coalesce({tags}, []), lambda t: trim(t) <> '' AND {bad} AND NOT list_contains({array(fixed.NEGATIVE_TAGS)}, lower(trim(t))))"
+
+
 _KINDS = " ".join(f"WHEN {any_of('lower(hotel_name)', words)} THEN '{kind}'" for kind, words in fixed.PAGE_LODGING.items())
 _NAMED = ", ".join(f"CASE WHEN {any_of('lower(hotel_name)', words)} THEN '{kind}' END" for kind, words in fixed.NAME_LODGING.items())
 _PLACES = "places_now AS (SELECT _id, max({'u': updated_at, 'types': types, 'location': location, 'rating': rating, 'hotel_name': hotel_name}) AS m FROM places GROUP BY 1), pl AS (SELECT _id, m.types AS types, m.location AS location, m.rating AS rating, m.hotel_name AS hotel_name FROM places_now)"
@@ -300,7 +305,7 @@ SELECT * FROM t WHERE n_tokens > 0""",
     "semi_anti_join": "SELECT doc_id, source_hotel_id, coalesce(source_hotel_id IN (SELECT _id FROM places), false) AS known FROM documents",
     "lookup_join": "SELECT c_custkey, n_name AS nation_n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey",
     "vector_text": f"""WITH {_PLACES},
-r AS (SELECT DISTINCT r._id, types, location, {_positive('category_tags')} AS ct, {_positive('descriptor_tags')} AS dt, clean_text FROM reviews r JOIN pl ON trim(r.source_hotel_id) = trim(pl._id) WHERE trim(coalesce(clean_text, '')) <> '')
+r AS (SELECT DISTINCT r._id, types, location, {_as_written('category_tags')} AS ct, {_as_written('descriptor_tags')} AS dt, clean_text FROM reviews r JOIN pl ON trim(r.source_hotel_id) = trim(pl._id) WHERE trim(coalesce(clean_text, '')) <> '')
 SELECT DISTINCT _id, concat_ws('. ', CASE WHEN len(types) > 0 THEN 'Types: ' || array_to_string(types, ', ') END, CASE WHEN {stripped("coalesce(location, '')")} <> '' THEN 'Location: ' || {stripped('location')} END,
   CASE WHEN len(ct) > 0 THEN 'Category tags: ' || array_to_string(ct, ', ') END, CASE WHEN len(dt) > 0 THEN 'Descriptor tags: ' || array_to_string(dt, ', ') END, 'Review: ' || {stripped('clean_text')}) AS text FROM r""",
     "phrase_hits": f"WITH {_hits(vocabulary.DESCRIPTORS)} SELECT * FROM hits",

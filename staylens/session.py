@@ -11,7 +11,8 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "staylens", master: str | None = None, **conf: str) -> SparkSession:
@@ -78,6 +79,23 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns, each worked out once a row however often later steps use it.
+
+    The optimizer puts a column's expression in wherever its name stands, filters included; it
+    doesn't do so across a row generator, here of one row.
+    """
+    for name, column in columns.items():
+        df = df.select(*[c for c in df.columns if c != name], F.explode(F.array(column)).alias(name))
+    return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it comes in fewer pieces than there are, as small tables of one row group do; else df."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df from its rows in the session's shared checkpoint folder on: later steps neither plan nor run what led to it again."""
     folder(df.sparkSession)

@@ -17,16 +17,20 @@ def work_folder(spark: SparkSession) -> str:
     return f"{folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
+def stream_of(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table at a path, a folder or one file, as a stream."""
+    schema = spark.read.parquet(path).schema
+    held = path if not path.endswith(".parquet") or os.path.isdir(path) else os.path.dirname(path)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*" if held == path else os.path.basename(path)).parquet(held)
+
+
 def windowed(spark: SparkSession, path: str, delay: str = "2 hours", window: str = "1 hour") -> DataFrame:
     """Sums by window and kind of the events at a path, read as a stream to its end: (hour, event_type, events, total).
 
     An event that comes again within the watermark counts once. All that is there is one batch, in
     which events of any age are seen; results go to a table in the shared folder.
     """
-    schema = spark.read.parquet(path).schema
-    held = path if not path.endswith(".parquet") or os.path.isdir(path) else os.path.dirname(path)
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*" if held == path else os.path.basename(path)).parquet(held)
-    rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicates(["event_id", "ts"])
+    rows = stream_of(spark, path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicates(["event_id", "ts"])
     sums = rows.groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total"))
     sums = sums.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "events", F.round("total", 4).alias("total"))
     out = work_folder(spark)
