@@ -471,12 +471,12 @@ def neighbour_pairs(graph: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     return graph.mapInArrow(unfold, "id long, neighbour long, similarity float")
 
 
-def search_graph(graph: DataFrame, queries: DataFrame, size: int, k: int = 10, width: int = 24, entries: int = 2048) -> DataFrame:
+def search_graph(graph: DataFrame, queries: DataFrame, size: int, k: int = 10, width: int = 32, entries: int = 2048) -> DataFrame:
     """The k vertices nearest to each query by greedy search: (query, neighbour, similarity).
 
     `graph` is what neighbour_graph gives and `queries` has (id, v) in its form; a query that is a
     vertex doesn't find itself. A search begins at the nearest of `entries` vertices, a bounded
-    sample, and goes on from the `width` best seen to their neighbours until none of these is left
+    sample, and where the query is a vertex at its own list too; it goes on from the `width` best seen to their neighbours until none of these is left
     to go on from; as it goes on from each vertex once at most, it ends. Ways lead along the lists
     and back, but back from a vertex that many list only to the `width` most similar of them and to
     those that have it as their nearest: whoever is listed nowhere is reached from its nearest.
@@ -522,8 +522,11 @@ def search_graph(graph: DataFrame, queries: DataFrame, size: int, k: int = 10, w
             yield batch.filter(pa.array(ranks < width))
 
     back = back.mapInArrow(few, "id long, similarity float, other long").select("id", F.col("other").alias("neighbour"))
+    listed = pairs.select(F.col("id").alias("query"), F.col("neighbour").alias("node"), F.col("similarity").alias("s"))
+    listed = listed.join(queries.select(F.col("id").alias("query"), F.col("v").alias("qv")), "query").select("query", "qv", "node", "s")
     links = kept.keep(pairs.select("id", "neighbour").unionByName(nearest).unionByName(back).distinct())
-    seen = kept.keep(queries.select("id", "v").mapInArrow(enter, "query long, qv binary, node long, s float").filter("query <> node").withColumn("done", F.lit(False)))
+    begun = queries.select("id", "v").mapInArrow(enter, "query long, qv binary, node long, s float").filter("query <> node").unionByName(listed)
+    seen = kept.keep(begun.groupBy("query", "node").agg(F.first("qv").alias("qv"), F.max("s").alias("s")).select("query", "qv", "node", "s", F.lit(False).alias("done")))
     while not seen.filter("not done").isEmpty():
         step = seen.filter("not done").join(links, F.col("node") == F.col("id")).select("query", "qv", F.col("neighbour").alias("node")).distinct()
         fresh = step.filter("query <> node").join(seen.select("query", "node"), ["query", "node"], "left_anti")
