@@ -26,7 +26,7 @@ LOOKALIKES = {
     # Armenian
     "օ": "o", "ս": "u", "ո": "n", "հ": "h", "ց": "g", "զ": "q", "Օ": "O", "Ս": "U",
     # Latin letters of the same look as another
-    "ð": "đ", "Ð": "Đ", "Ɖ": "Đ", "ɖ": "đ", "ı": "i", "ɩ": "i", "ɑ": "a", "ɡ": "g", "ɪ": "i", "ʏ": "y", "ο": "o", "ⅼ": "l", "ⅰ": "i", "ⅴ": "v", "ⅹ": "x", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m",
+    "ð": "đ", "Ð": "Đ", "Ɖ": "Đ", "ɖ": "đ", "ı": "i", "ɩ": "i", "ɑ": "a", "ɡ": "g", "ɪ": "i", "ʏ": "y", "ⅼ": "l", "ⅰ": "i", "ⅴ": "v", "ⅹ": "x", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m",
 }
 _INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\U000e0000-\U000e0fff\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f"
 _SPACES = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
