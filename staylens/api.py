@@ -11,6 +11,10 @@ from staylens.functions import text
 from staylens.operators import bm25, evaluation, search, understanding, vectors
 
 
+#: Weights of dense and lexical scores, and what a place that fits makes of a score, of the systems that are compared.
+SYSTEMS = {"bm25": (0.0, 1.0, 1.0), "vector": (1.0, 0.0, 1.0), "hybrid": (0.6, 0.4, 1.8)}
+
+
 class Engine:
     """Searches over one set of index tables. Each call plans all of its queries as one job."""
 
@@ -34,6 +38,14 @@ class Engine:
             dense = self.embeddings.select(F.col("doc").cast(self.docs.schema["doc"].dataType).alias("doc"), "embedding"), asking
         return search.search(asked, self.index, dense, self.docs, self.places, self.keywords, settings)
 
+    def systems(self, queries: list[str], top_k: int = 10) -> DataFrame:
+        """Lexical, dense and mixed search of the same queries, with `system` before the columns of a search."""
+        parts = [self.search(queries, top_k, v, b, place).withColumn("system", F.lit(name)) for name, (v, b, place) in SYSTEMS.items()]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out.select("system", *[c for c in out.columns if c != "system"])
+
     def hotel(self, hotel_id: str) -> dict | None:
         """A hotel's row, or None."""
         row = self.places.filter(F.col("_id") == hotel_id).first()

@@ -11,14 +11,14 @@ PLAIN_VIETNAMESE_WORDS = ["phong", "khach san", "sach", "tot", "dep", "nhan vien
 
 SPAM_PHRASES = ["liên hệ", "hotline", "promo code", "mã giảm giá"]
 
-STOPWORDS = "và là của cho được với nhưng rất này khi thì có ở đã mình chúng tôi bạn không ạ dạ thưa".split()
-QUERY_STOPWORDS = "tôi mình chúng_tôi chúng_mình ta muốn cần tìm kiếm tìm_kiếm xin hãy giúp cho bạn ơi ở tại vào ra và hoặc hay nào có không nhé thì với để mà về thuộc trong đây đó gì đâu sao thế_nào bao_nhiêu thành phố thành_phố khu vực khu_vực".split()
+STOPWORDS = ["và", "là", "của", "cho", "được", "với", "nhưng", "rất", "này", "khi", "thì", "có", "ở", "đã", "mình", "chúng", "tôi", "bạn", "không", "ạ", "dạ", "thưa"]
+QUERY_STOPWORDS = ["tôi", "mình", "chúng_tôi", "chúng_mình", "ta", "muốn", "cần", "tìm", "kiếm", "tìm_kiếm", "xin", "hãy", "giúp", "cho", "bạn", "ơi", "ở", "tại", "vào", "ra", "và", "hoặc", "hay", "nào", "có", "không", "nhé", "thì", "với", "để", "mà", "về", "thuộc", "trong", "đây", "đó", "gì", "đâu", "sao", "thế_nào", "bao_nhiêu", "thành", "phố", "thành_phố", "khu", "vực", "khu_vực"]
 
 NEGATIVE_PREFIXES = ["!", "not_", "no_", "non_", "bad_", "poor_", "worst_"]
-NEGATIVE_TAGS = "tệ tồi_tệ dở bẩn dơ ồn hôi thất_vọng không_đáng_tiền không_hài_lòng tệ_hại kinh_khủng thảm_họa rác_rưởi vỡi lừa_đảo phẫn_nộ gay_phẫn".split()
+NEGATIVE_TAGS = ["tệ", "tồi_tệ", "dở", "bẩn", "dơ", "ồn", "hôi", "thất_vọng", "không_đáng_tiền", "không_hài_lòng", "tệ_hại", "kinh_khủng", "thảm_họa", "rác_rưởi", "vỡi", "lừa_đảo", "phẫn_nộ", "gay_phẫn"]
 
-POSITIVE_WORDS = "tốt đẹp sạch thoải_mái nhiệt_tình thân_thiện tiện_nghi hợp_lý xịn mới rộng gọn_gàng chu_đáo hài_lòng tuyệt_vời ok ổn rộng_rãi sạch_sẽ tiện_lợi thuận_tiện vui_vẻ dễ_gần hỗ_trợ yên_tĩnh tạm_ổn".split()
-NEGATIVE_WORDS = "tệ dở bẩn chật nhỏ cũ hỏng kém bất_tiện xa đắt ồn ồn_ào lạnh nóng thiếu kinh_khủng khó_chịu tối gãy trống nồng khó_ngủ không_tốt cao chưa".split()
+POSITIVE_WORDS = ["tốt", "đẹp", "sạch", "thoải_mái", "nhiệt_tình", "thân_thiện", "tiện_nghi", "hợp_lý", "xịn", "mới", "rộng", "gọn_gàng", "chu_đáo", "hài_lòng", "tuyệt_vời", "ok", "ổn", "rộng_rãi", "sạch_sẽ", "tiện_lợi", "thuận_tiện", "vui_vẻ", "dễ_gần", "hỗ_trợ", "yên_tĩnh", "tạm_ổn"]
+NEGATIVE_WORDS = ["tệ", "dở", "bẩn", "chật", "nhỏ", "cũ", "hỏng", "kém", "bất_tiện", "xa", "đắt", "ồn", "ồn_ào", "lạnh", "nóng", "thiếu", "kinh_khủng", "khó_chịu", "tối", "gãy", "trống", "nồng", "khó_ngủ", "không_tốt", "cao", "chưa"]
 
 STRONG_COMPLAINTS = ["rất tệ", "quá tệ", "tồi tệ", "thất vọng", "không tốt", "không hài lòng", "bẩn", "dơ", "cũ", "ồn", "mùi hôi", "khó chịu", "không sạch", "không yên tĩnh", "không đáng tiền"]
 MILD_COMPLAINTS = ["hơi", "hơi nhỏ", "hơi cũ", "hơi ồn", "hơi bụi", "chưa", "chưa tốt", "không được tốt", "không ổn"]
@@ -45,21 +45,21 @@ CATEGORY_HINTS = {
 }
 #: Categories and the query tokens that ask for them.
 CATEGORY_TOKENS = {
-    "mountain": "núi đồi thung_lũng cao_nguyên săn_mây rừng view_núi hướng_núi".split(),
-    "beach": "biển bãi_biển ven_biển gần_biển đảo view_biển".split(),
-    "family": "gia_đình trẻ_em kid family phòng_gia_đình".split(),
-    "budget": "giá_rẻ bình_dân tiết_kiệm hợp_lý rẻ".split(),
-    "luxury": "sang_trọng cao_cấp luxury 5_sao resort villa".split(),
-    "center": "trung_tâm phố_đi_bộ chợ_đêm gần_chợ".split(),
-    "amenity_pool": "hồ_bơi bể_bơi pool vô_cực".split(),
-    "amenity_breakfast": "ăn_sáng buffet điểm_tâm".split(),
-    "airport": "sân_bay airport đưa_đón xe_đón gần_ga ga_tàu metro".split(),
-    "spa_gym": "spa massage gym fitness xông_hơi jacuzzi".split(),
-    "photo": "sống_ảo checkin check_in chụp_hình vintage view_đẹp".split(),
-    "quiet": "yên_tĩnh nghỉ_dưỡng thư_giãn đọc_sách riêng_tư".split(),
-    "pet": "pet pet_friendly thú_cưng đưa_thú_cưng".split(),
-    "kitchen": "bếp_nấu bếp_riêng bbq nướng kitchen".split(),
-    "business": "công_tác business workation phòng_họp meeting co_working".split(),
+    "mountain": ["núi", "đồi", "thung_lũng", "cao_nguyên", "săn_mây", "rừng", "view_núi", "hướng_núi"],
+    "beach": ["biển", "bãi_biển", "ven_biển", "gần_biển", "đảo", "view_biển"],
+    "family": ["gia_đình", "trẻ_em", "kid", "family", "phòng_gia_đình"],
+    "budget": ["giá_rẻ", "bình_dân", "tiết_kiệm", "hợp_lý", "rẻ"],
+    "luxury": ["sang_trọng", "cao_cấp", "luxury", "5_sao", "resort", "villa"],
+    "center": ["trung_tâm", "phố_đi_bộ", "chợ_đêm", "gần_chợ"],
+    "amenity_pool": ["hồ_bơi", "bể_bơi", "pool", "vô_cực"],
+    "amenity_breakfast": ["ăn_sáng", "buffet", "điểm_tâm"],
+    "airport": ["sân_bay", "airport", "đưa_đón", "xe_đón", "gần_ga", "ga_tàu", "metro"],
+    "spa_gym": ["spa", "massage", "gym", "fitness", "xông_hơi", "jacuzzi"],
+    "photo": ["sống_ảo", "checkin", "check_in", "chụp_hình", "vintage", "view_đẹp"],
+    "quiet": ["yên_tĩnh", "nghỉ_dưỡng", "thư_giãn", "đọc_sách", "riêng_tư"],
+    "pet": ["pet", "pet_friendly", "thú_cưng", "đưa_thú_cưng"],
+    "kitchen": ["bếp_nấu", "bếp_riêng", "bbq", "nướng", "kitchen"],
+    "business": ["công_tác", "business", "workation", "phòng_họp", "meeting", "co_working"],
 }
 #: Kinds of lodging and the words in a query that ask for them, in order of precedence.
 LODGING = {

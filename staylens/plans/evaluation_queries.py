@@ -101,7 +101,7 @@ def prepared_text(spark, folder):
 
 def tagged_records(spark, folder):
     """Documents with category and descriptor tags by their prepared texts."""
-    rows = tagging.tag_records(T.table(spark, folder, "documents"), "doc_id", "text", "hotel_name", "source", rules(vocabulary.CATEGORIES), rules(vocabulary.DESCRIPTORS), subjects=vocabulary.SUBJECTS, exclusions=vocabulary.EXCLUSIONS)
+    rows = tagging.tag_records(T.texts(spark, folder, "documents"), "doc_id", "text", "hotel_name", "source", rules(vocabulary.CATEGORIES), rules(vocabulary.DESCRIPTORS), subjects=vocabulary.SUBJECTS, exclusions=vocabulary.EXCLUSIONS)
     return rows.select("doc_id", "category_tags", "descriptor_tags")
 
 

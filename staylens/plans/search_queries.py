@@ -10,7 +10,7 @@ from staylens.operators import bm25, evaluation, search, store, understanding, v
 from staylens.plans import vocabulary
 from staylens.plans.sql import any_of, array, normalized, tokens_of
 from staylens.sources.readers import samples_by_key
-from staylens.plans.text_queries import _PLACES, _places, _positive, table
+from staylens.plans.text_queries import _PLACES, _places, _positive, table, texts
 from staylens.streaming import ingest
 
 #: Hits of each side that are fused.
@@ -30,7 +30,7 @@ def _asked(spark, folder):
 
 
 def _index(spark, folder) -> bm25.Index:
-    return bm25.build(table(spark, folder, "documents"), "doc_id", "tokens")
+    return bm25.build(texts(spark, folder, "documents"), "doc_id", "tokens")
 
 
 def bm25_term_stats(spark, folder):
@@ -43,7 +43,7 @@ def bm25_topk(spark, folder):
 
 
 def _weighted(spark, folder):
-    docs, places = table(spark, folder, "documents"), _places(spark, folder).select("_id", "types", "location")
+    docs, places = texts(spark, folder, "documents"), _places(spark, folder).select("_id", "types", "location")
     rows = docs.join(places, docs["source_hotel_id"] == places["_id"], "left")
     return rows.select("doc_id", bm25.weighted_tokens(F.col("hotel_name"), F.col("types"), F.col("location"), F.col("tokens"), F.col("category_tags"), F.col("descriptor_tags")).alias("tokens"))
 
@@ -86,23 +86,23 @@ def candidate_mask_fallback(spark, folder):
 
 def infer_category(spark, folder):
     none = F.lit("")
-    return table(spark, folder, "documents").select("doc_id", F.array_sort(search.document_categories(F.col("category_tags"), F.col("hotel_name"), none, F.col("text"))).alias("categories"))
+    return texts(spark, folder, "documents").select("doc_id", F.array_sort(search.document_categories(F.col("category_tags"), F.col("hotel_name"), none, F.col("text"))).alias("categories"))
 
 
 def infer_type(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.array_sort(search.lodging_types(F.lit(None).cast("array<string>"), F.col("hotel_name"), F.col("text"))).alias("types"))
+    return texts(spark, folder, "documents").select("doc_id", F.array_sort(search.lodging_types(F.lit(None).cast("array<string>"), F.col("hotel_name"), F.col("text"))).alias("types"))
 
 
 _WISHES = "CASE doc_id % 3 WHEN 0 THEN {a}('gia_đình') WHEN 1 THEN {a}('view', 'vịnh') ELSE {a}('yên_tĩnh', 'khách_sạn') END"
 
 
 def descriptor_support(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", search.descriptors_supported(F.expr(_WISHES.format(a="array")), F.array(F.coalesce("text", F.lit("")))).alias("supported"))
+    return texts(spark, folder, "documents").select("doc_id", search.descriptors_supported(F.expr(_WISHES.format(a="array")), F.array(F.coalesce("text", F.lit("")))).alias("supported"))
 
 
 def sentiment_penalty(spark, folder):
     wishes = F.expr("CASE doc_id % 2 WHEN 0 THEN array('rộng_rãi') ELSE array('abc') END")
-    return table(spark, folder, "documents").select("doc_id", search.complaint_factor(F.array(F.coalesce("text", F.lit(""))), wishes, F.array().cast("array<string>")).alias("factor"))
+    return texts(spark, folder, "documents").select("doc_id", search.complaint_factor(F.array(F.coalesce("text", F.lit(""))), wishes, F.array().cast("array<string>")).alias("factor"))
 
 
 def type_boost(spark, folder):
@@ -130,7 +130,7 @@ def hybrid_search(spark, folder) -> DataFrame:
     Dense vectors come from the encoder that needs no model, for reviews and queries alike.
     """
     asked = _understood(spark, folder).filter(_number() % EVERY == 0).withColumn("raw", F.col("query")).withColumn("query", F.col("query_id")).drop("query_id")
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "source_hotel_id", F.col("text").alias("review_text"), "category_tags", "tokens")
+    docs = texts(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "source_hotel_id", F.col("text").alias("review_text"), "category_tags", "tokens")
     index = bm25.build(docs, "doc", "tokens")
     coded = vectors.encode(docs.select("doc", F.array_join(F.coalesce("tokens", F.array().cast("array<string>")), " ").alias("t")), "t")
     asking = vectors.encode(asked.select("query", F.array_join("expanded_tokens", " ").alias("t")), "t")

@@ -9,6 +9,7 @@ from staylens.functions import fixed, parse, text
 from staylens.functions.lexicon import rules
 from staylens.operators import quality, store, summary, tagging
 from staylens.plans import vocabulary
+from staylens.session import spread
 from staylens.plans.sql import any_of, array, normalized, squeezed, stripped, tokens_of
 
 
@@ -16,16 +17,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose texts are worked on: over all cores, however few row groups it is in."""
+    return spread(table(spark, folder, name))
+
+
 def text_clean(spark, folder):
-    return table(spark, folder, "reviews").select("_id", text.clean(F.col("review_text")).alias("clean"))
+    return texts(spark, folder, "reviews").select("_id", text.clean(F.col("review_text")).alias("clean"))
 
 
 def text_normalize(spark, folder):
-    return table(spark, folder, "reviews").select("_id", text.normalize(F.col("review_text")).alias("normal"))
+    return texts(spark, folder, "reviews").select("_id", text.normalize(F.col("review_text")).alias("normal"))
 
 
 def text_tokens(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", text.tokens(F.col("text")).alias("tokens"), text.words(F.col("text")).alias("words"))
+    return texts(spark, folder, "documents").select("doc_id", text.tokens(F.col("text")).alias("tokens"), text.words(F.col("text")).alias("words"))
 
 
 def stopword_filter(spark, folder):
@@ -41,7 +47,7 @@ def token_ngrams(spark, folder):
 
 
 def sentence_split(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", text.sentences(F.col("text")).alias("sentences"))
+    return texts(spark, folder, "documents").select("doc_id", text.sentences(F.col("text")).alias("sentences"))
 
 
 def negative_tag_filter(spark, folder):
@@ -53,15 +59,15 @@ def suggestions(spark, folder):
 
 
 def spam_filter(spark, folder):
-    return table(spark, folder, "reviews").filter(~quality.is_spam(F.col("review_text"))).select("_id", "crawled_at")
+    return texts(spark, folder, "reviews").filter(~quality.is_spam(F.col("review_text"))).select("_id", "crawled_at")
 
 
 def language_filter(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", quality.is_vietnamese(F.col("text")).alias("vietnamese"), quality.is_vietnamese_short(F.col("text")).alias("vietnamese_short"))
+    return texts(spark, folder, "documents").select("doc_id", quality.is_vietnamese(F.col("text")).alias("vietnamese"), quality.is_vietnamese_short(F.col("text")).alias("vietnamese_short"))
 
 
 def pipeline_filter(spark, folder):
-    return quality.keep_reviews(table(spark, folder, "documents").drop("tokens"), "text").select("doc_id", "clean_text", F.size("tokens").alias("n_tokens"))
+    return quality.keep_reviews(texts(spark, folder, "documents").drop("tokens"), "text").select("doc_id", "clean_text", F.size("tokens").alias("n_tokens"))
 
 
 def tag_conflict_check(spark, folder):
@@ -165,7 +171,7 @@ def vector_text(spark, folder):
 
 
 def _tokens(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", text.tokens(text.normalize(F.col("text"))).alias("t"))
+    return texts(spark, folder, "documents").select("doc_id", text.tokens(text.normalize(F.col("text"))).alias("t"))
 
 
 def phrase_hits(spark, folder):
@@ -193,7 +199,7 @@ def tag_assign(spark, folder):
 
 
 def review_summary(spark, folder):
-    return summary.summarise(table(spark, folder, "documents"), "source_hotel_id", "doc_id", "text")
+    return summary.summarise(texts(spark, folder, "documents"), "source_hotel_id", "doc_id", "text")
 
 
 QUERIES = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,5 +50,5 @@ def retained(log: DataFrame, keep: int) -> DataFrame:
     return log.join(F.broadcast(runs), "logged_at", "left_semi")  # `keep` rows at most
 
 
-def numbered(df: DataFrame, group: str, order: list, name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+def write_table(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").parquet(path)
