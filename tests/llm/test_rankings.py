@@ -115,5 +115,8 @@ def test_term_weights_against_brute_force(spark):
                 m, tfn = cf[t] / len(docs), tf * math.log2(1 + mean / sum(v.values()))
                 want[k, ["tokens", "tags"][field - 1], t] = (tf, df_[t], cf[t], round((math.log2(1 + m) + tfn * math.log2((1 + m) / m)) / (tfn + 1), 9))
     assert got == want
+    for few in (1, 2, 4):  # the least weight of a term of few records loses none of them, but most of the others
+        heavy = {(r["id"], r["field"], r["term"]) for r in term_weights(df, "id", ["tokens", "tags"], few=few).collect()}
+        assert heavy <= set(got) and {k for k, v in got.items() if v[1] <= few} <= heavy and sum(got[k][1] > 20 for k in heavy) < sum(v[1] > 20 for v in got.values())
     assert max(got, key=lambda k: got[k][3] if k[1] == "tokens" and k[2] else -1)[2] != "the"
     assert rows(term_weights(df.limit(0), "id", ["tokens"])) == []

@@ -4,6 +4,7 @@ import random
 import unicodedata
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from conftest import rows
 from hypothesis import given, settings
@@ -28,6 +29,8 @@ CASES = [
     ("рhòng ðẹp", "phòng đẹp", ["lookalike"]),
     ("Suо̂́i", "Suối", ["accent", "lookalike"]),
     ("Балкон с видом, wifi", None, []),
+    ("ꓳld ꓟill, Ꮇy Khê, Ⲥau", "Old Mill, My Khê, Cau", ["lookalike"]),
+    ("ᏣᎳᎩ ᎢᎢ wifi", None, []),
     ("初日の夜から、静かでした。（本当）", None, []),
     ("", None, []),
     ("\n\n  two  spaces\n", None, []),
@@ -90,7 +93,29 @@ def test_languages_of_mixed_and_odd_texts(spark):
     assert rows(L.languages(df.limit(0), "rid", "body", model)) == []
 
 
-def test_house_names_in_brackets_say_nothing():
+def test_long_stretches_count_whole():
+    # What tells the languages apart comes after the first sixty words.
+    words = {"en": "clean room quiet staff", "de": "zimmer ruhig sauber leute"}
+    texts = [" ".join(["lorem"] * 70 + words[c].split() * 12) for c in words for _ in range(60)]
+    model = L.fit(texts, ["en"] * 60 + ["de"] * 60, ["de", "en"])
+    p = model.judge([("l", w.split()) for w in words.values()])
+    assert p[0, 1] > 0.8 and p[1, 0] > 0.8
+
+
+def test_judgements_are_rejected_where_they_are_as_good_as_none():
+    rng = np.random.default_rng(0)
+    sure = rng.uniform(0.5, 1, 4000)
+    right = rng.random(4000) < np.where(sure > 0.7, 0.9, 0.2)
+    bound, wrong = L._reject(sure, right)
+    assert 0.68 < bound < 0.72 and wrong == pytest.approx(0.1, abs=0.02)
+    assert L._reject(np.array([0.9]), np.array([True]))[0] >= 0.5
+    logits = rng.normal(size=(3000, 4)) * 2
+    truth = np.array([rng.choice(4, p=x) for x in L._softmax(logits / 1.7)])
+    assert L._temperature(logits, truth, 0.0) == pytest.approx(1.7, rel=0.15)
+
+
+def test_names_in_brackets_say_nothing():
+    assert L.stretches("It was fine (the room was cold and the staff rude.)")[1] == ("l", "the room was cold and the staff rude".split())
     assert L.stretches("The room was fine (Khu nghỉ dưỡng Sương Ngàn, Bãi Vọng)") == [("l", ["the", "room", "was", "fine"])]
 
 
@@ -183,6 +208,18 @@ def test_packing_keeps_all_and_overfills_none(spark):
     assert pack(df.limit(0), "doc", "n", 100).collect() == []
 
 
+@pytest.mark.parametrize("merged", [2, 3])
+def test_open_containers_merge_in_stages(spark, merged):
+    rng = random.Random(7)
+    data = [(i, rng.randint(1, 70)) for i in range(600)]
+    got = pack(spark.createDataFrame(data, "doc int, n int").repartition(13), "doc", "n", 100, windows=4, merged=merged).collect()
+    filled = defaultdict(int)
+    for r in got:
+        filled[r["container"]] += r["size"]
+    assert {(r["doc"], r["size"]) for r in got} == set(data) and max(filled.values()) <= 100
+    assert len(filled) <= 1.15 * sum(n for _, n in data) / 100
+
+
 def _share(tokens, run=4):
     """Words in runs that began earlier, by comparing all pairs of places."""
     hit = set()
