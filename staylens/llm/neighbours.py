@@ -28,8 +28,8 @@ SAMPLE, LEAF, BLOCK = 100_000, 8192, 40_000
 NEIGHBOURS, LISTED = 10, 16
 #: Trees; parts of the places to meet that take turns, so that what is under way at once is a part's.
 ROUNDS, TURNS = 4, 4
-#: The descent ends when, after every place has had its turn, a turn made less than this share of the entries new.
-SETTLED = 0.05
+#: The descent ends when the turns of a pass over all places have made less than this share of the entries new.
+SETTLED = 0.1
 #: Vertices that meet at one place in one task. More are dealt into groups of half of it, every two of which meet in a task of their own.
 CROWD = 20_000
 #: Similarity from which two directions count as the same one.
@@ -175,8 +175,8 @@ def neighbour_graph(df: DataFrame, id_col: str, vector_col: str, size: int, k: i
     lists, an empty table an empty result. The length of the vectors has no effect. Similarities
     are those of the 8-bit directions; each direction is off by off_by(size) at most.
 
-    The descent ends when every place has had its turn and a turn made less than the share
-    `settled` of the entries new; as lists only ever get better, it does end.
+    The descent ends when the turns of a pass made less than the share `settled` of the entries
+    new; as lists only ever get better, it does end.
     """
     spark = df.sparkSession
     kept = Kept(spark)
@@ -228,12 +228,12 @@ def neighbour_graph(df: DataFrame, id_col: str, vector_col: str, size: int, k: i
         state = kept.keep(state.mapInArrow(key, _STATE + ", key long").groupBy("key").applyInArrow(join_block, _STATE))
         kept.drop(kept.n - 2)
 
-    turn, share = 0, 1.0
-    while turn < TURNS or share >= settled:
+    shares = [1.0] * TURNS
+    while sum(shares[-TURNS:]) >= settled:
         before = kept.n - 1
-        state = _descend(kept, state, size, k, kind, seed, turn % TURNS)
+        state = _descend(kept, state, size, k, kind, seed, len(shares) % TURNS)
         kept.drop(*range(before, kept.n - 1))
-        turn, share = turn + 1, state.agg(F.sum("came")).first()[0] / (k * total)
+        shares.append(state.agg(F.sum("came")).first()[0] / (k * total))
     return state.drop("came")
 
 
