@@ -1,12 +1,11 @@
 """Most similar vectors for every vector: a neighbour graph by NN-descent, and greedy search in it.
 
 A row of the graph holds a vertex's id, its direction in 8-bit numbers, and its nearest so far.
-First rounds put the vertices into blocks by trees of splits between pairs of points, another tree
-each round, and join each block with itself. Then come passes of descent: at every vertex meet
-those that list it and those it lists, all pairs of which one is new there are compared, and what
-improves a list returns to its vertex. Passes go on until few entries of the lists are new. What
-moves in a pass is proportional to the vertices; nothing is gathered but a bounded sample that the
-trees are grown on.
+First rounds put the vertices into blocks by trees of nearest centres, another tree each round, and
+join each block with itself. Then come passes of descent: at every vertex meet those that list it
+and those it lists, all pairs of which one is new there are compared, and what improves a list
+returns to its vertex. Passes go on until few entries of the lists are new. What moves in a pass is
+proportional to the vertices; nothing is gathered but a bounded sample that the trees are grown on.
 """
 
 from __future__ import annotations
@@ -28,6 +27,8 @@ SAMPLE, LEAF, BLOCK = 100_000, 8192, 40_000
 NEIGHBOURS, LISTED = 10, 16
 #: Trees; parts of the places to meet that take turns, so that what is under way at once is a part's.
 ROUNDS, TURNS = 4, 4
+#: Rounds of k-means that the centres of a tree are refined by; binary digits of the centres under a node, at most.
+REFINED, FAN = 2, 6
 #: The descent ends when the turns of a pass over all places have made less than this share of the entries new.
 SETTLED = 0.1
 #: Vertices that meet at one place in one task. More are dealt into groups of half of it, every two of which meet in a task of their own.
@@ -76,31 +77,43 @@ def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return np.where(sims > -2, ids, -1), sims.astype(np.float32)
 
 
-def _grow(x: np.ndarray, leaves: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """A balanced tree of splits, as an array heap: direction and threshold of each inner node."""
-    depth = max(0, int(np.ceil(np.log2(max(1, leaves)))))
-    direction, threshold = np.zeros((2**depth - 1, x.shape[1]), np.float32), np.zeros(2**depth - 1, np.float32)
-    members = [np.arange(len(x))]
-    for node in range(2**depth - 1):
-        own = members[node]
-        if len(own) > 1:
-            a, b = x[rng.choice(own, 2, replace=False)]
-            d = a - b
-            d = d / np.linalg.norm(d) if np.linalg.norm(d) > 1e-6 else rng.normal(size=x.shape[1]).astype(np.float32)
-            along = x[own] @ d
-            direction[node], threshold[node] = d, np.median(along)
-            right = along > threshold[node]
-        else:
-            right = np.zeros(len(own), bool)
-        members += [own[~right], own[right]]
-    return direction, threshold
-
-
-def _leaf(x: np.ndarray, direction: np.ndarray, threshold: np.ndarray) -> np.ndarray:
+def _centres(x: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """n directions that x lies around: random ones of it, refined by spherical k-means.
+
+    Few rounds of it, so that trees still differ and what one parts another keeps together. Of
+    fewer than n the first is repeated, which leaves its copies without members.
+    """
+    c = x[rng.choice(len(x), min(n, len(x)), replace=False)]
+    for _ in range(REFINED):
+        near = np.argmax(x @ c.T, axis=1)
+        sums = np.stack([x[near == j].sum(axis=0) for j in range(len(c))])
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(norm > 1e-6, sums / np.maximum(norm, 1e-6), c)
+    return np.vstack([c, np.repeat(c[:1], n - len(c), axis=0)])
+
+
+def _grow(x: np.ndarray, leaves: int, rng: np.random.Generator) -> list[np.ndarray]:
+    """A tree of nearest centres down to `leaves`, a power of two: for each level the centres under each of its nodes."""
+    depth = leaves.bit_length() - 1
+    levels = -(-depth // FAN)
+    tree, members = [], [np.arange(len(x))]
+    for level in range(levels):
+        n = 2 ** (depth * (level + 1) // levels - depth * level // levels)
+        tree.append(np.stack([_centres(x[own], n, rng) if len(own) else np.zeros((n, x.shape[1]), np.float32) for own in members]).astype(np.float32))
+        near = [np.argmax(x[own] @ c.T, axis=1) for own, c in zip(members, tree[-1], strict=True)]
+        members = [own[to == j] for own, to in zip(members, near, strict=True) for j in range(n)]
+    return tree
+
+
+def _leaf(x: np.ndarray, *tree: np.ndarray) -> np.ndarray:
     node = np.zeros(len(x), np.int64)
-    for _ in range(int(np.log2(len(threshold) + 1))):
-        node = 2 * node + 1 + (np.einsum("ij,ij->i", x, direction[node]) > threshold[node])
-    return node - len(threshold)
+    for centres in tree:
+        order, near = np.argsort(node, kind="stable"), np.zeros(len(x), np.int64)
+        for own in np.split(order, np.flatnonzero(np.diff(node[order])) + 1):
+            if len(own):
+                near[own] = np.argmax(x[own] @ centres[node[own[0]]].T, axis=1)
+        node = node * centres.shape[1] + near
+    return node
 
 
 def _compare(x: np.ndarray, ids: np.ndarray, nb: np.ndarray, ns: np.ndarray, rng: np.random.Generator) -> None:
@@ -109,9 +122,8 @@ def _compare(x: np.ndarray, ids: np.ndarray, nb: np.ndarray, ns: np.ndarray, rng
     while todo:
         own = todo.pop()
         if len(own) > 1.5 * LEAF:
-            a, b = x[rng.choice(own, 2, replace=False)]
-            along = x[own] @ (a - b)
-            right = along > np.median(along)
+            a, b = _centres(x[rng.choice(own, 1024, replace=False)], 2, rng)
+            right = x[own] @ (a - b) < 0
             if not 0.1 < right.mean() < 0.9:  # copies of one another: any halves will do
                 right = rng.random(len(own)) < 0.5
             todo += [own[~right], own[right]]
@@ -199,21 +211,21 @@ def neighbour_graph(df: DataFrame, id_col: str, vector_col: str, size: int, k: i
     state = vertices.select("id", "v", *[c.alias(n) for c, n in zip(empty, ("nb", "ns", "new"), strict=True)])
     if total < 2:
         return state
-    leaves = max(1, min(total // LEAF, SAMPLE // 32))
+    leaves = 2 ** (max(1, min(total // LEAF, SAMPLE // 32)) - 1).bit_length()
     held = lowest(vertices, ["id"], min(SAMPLE, 256 * leaves), total).select("v").toArrow()
     sample = _unit(_rows(held.column("v"), np.int8, size))
 
     for r in range(rounds):
         tree = _grow(sample, leaves, np.random.default_rng([seed, r]))
         # A leaf that holds more than a task's block is dealt out to several.
-        share = np.bincount(_leaf(sample, *tree), minlength=len(tree[1]) + 1) / len(sample)
+        share = np.bincount(_leaf(sample, *tree), minlength=leaves) / len(sample)
         deal = np.maximum(1, np.ceil(share * total / BLOCK)).astype(np.int64)
-        shared = spark.sparkContext.broadcast((*tree, deal))
+        shared = spark.sparkContext.broadcast((tree, deal))
 
         def key(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
-            direction, threshold, deal = shared.value
+            tree, deal = shared.value
             for batch in batches:
-                leaf = _leaf(_unit(_rows(batch.column("v"), np.int8, size)), direction, threshold)
+                leaf = _leaf(_unit(_rows(batch.column("v"), np.int8, size)), *tree)
                 dealt = (_mixed(batch.column("id").to_numpy(), r) >> np.uint64(33)).astype(np.int64) % deal[leaf]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf * 4096 + dealt, pa.int64())], names=[*batch.schema.names, "key"])
 

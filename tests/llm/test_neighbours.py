@@ -7,7 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from staylens.llm.common import Kept
-from staylens.llm.neighbours import _STATE, TURNS, _descend, _held, _kind, _whole_runs, neighbour_graph, neighbour_pairs, search_graph
+from staylens.llm.neighbours import _STATE, TURNS, _descend, _grow, _held, _kind, _leaf, _whole_runs, neighbour_graph, neighbour_pairs, search_graph
 
 
 def _table(spark, vectors, ids=None):
@@ -38,6 +38,25 @@ def test_recall_of_graph_and_search(spark):
     assert np.mean([len(found[i] & set(b)) / 10 for i, b in zip(some, best, strict=True)]) >= 0.9
 
 
+@pytest.mark.parametrize(("leaves", "least"), [(32, 0.5), (256, 0.35)])
+def test_trees_keep_neighbours_together(leaves, least):
+    # Splits between pairs of points kept 0.26 and 0.11 of them.
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(100, 32))[rng.integers(0, 100, 20_000)] + rng.normal(size=(20_000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    some = np.arange(0, 20_000, 50)
+    near = np.argsort(-(x[some] @ x.T), axis=1, kind="stable")[:, 1:11]
+    leaf = _leaf(x, *_grow(x[rng.choice(20_000, 8192, replace=False)], leaves, rng))
+    assert 0 <= leaf.min() and leaf.max() < leaves and np.bincount(leaf).max() < 8 * 20_000 / leaves
+    assert np.mean(leaf[some][:, None] == leaf[near]) >= least
+
+
+@pytest.mark.parametrize("x", [np.zeros((0, 4)), np.eye(4)[:1], np.tile(np.eye(4)[0], (50, 1))])
+def test_trees_on_few_or_equal_vectors(x):
+    leaf = _leaf(x.astype(np.float32), *_grow(x.astype(np.float32), 128, np.random.default_rng(0)))
+    assert len(leaf) == len(x) and len(set(leaf.tolist())) <= 1
+
+
 def test_unusable_repeated_and_equal_vectors(spark):
     same = [1.0, 2.0, 3.0, 4.0]
     vectors = [same, same, [2.0, 4.0, 6.0, 8.0], [-1.0, 0, 0, 0], None, [0.0] * 4, [1.0] * 3, [float("nan"), 1, 1, 1], [float("inf"), 1, 1, 1], [None, 1, 1, 1], same]
