@@ -57,6 +57,24 @@ def test_bm25_of_four_documents(spark):
     assert {r["doc"]: round(r["bm25"], 6) for r in bm25.max_normalise(got, "query", "bm25").collect()} == {"d1": 1.0, "d2": 0.818681, "d3": 0.586614}
 
 
+def _corpus(spark):
+    """Documents with repeated ids, equal texts and terms of negative weight, and queries with repeated and unknown terms."""
+    docs = [(f"d{i % 90:02d}", [f"t{(i * j) % 13}" for j in range(1, 2 + i % 7)] + ["all"] * (i % 5 > 0)) for i in range(100)]
+    asked = [(f"q{i}", [f"t{i % 13}", f"t{i * i % 13}", "all", "none"]) for i in range(30)] + [(None, ["t1"]), ("empty", [])]
+    return spark.createDataFrame(docs, "id string, tokens array<string>"), spark.createDataFrame(asked, "query_id string, tokens array<string>")
+
+
+@pytest.mark.parametrize("block, many", [(1000, 1000), (16, 7)])
+def test_candidates_hold_the_best_of_all_scores(spark, monkeypatch, block, many):
+    monkeypatch.setattr(bm25, "BLOCK", block), monkeypatch.setattr(bm25, "PASS", many), monkeypatch.setattr(bm25, "STRIPE", 4)
+    docs, asked = _corpus(spark)
+    index = bm25.build(docs, "id", "tokens")
+    best = lambda df: rows(bm25.top(df.withColumn("bm25", F.round("bm25", 6)), "query", "bm25", "doc", 3))
+    few, every = bm25.candidates(asked, index, 3), bm25.score(asked, index)
+    assert best(few) == best(every) and {r[0] for r in best(few)} >= {None, "q1"}
+    assert few.count() < every.filter("bm25 > 0").count() / 2  # scores of all pairs don't leave the tasks
+
+
 def test_index_is_written_and_read(spark, tmp_path):
     docs = spark.createDataFrame([("d1", ["a"]), ("d2", ["b"]), ("d3", ["c"])], "id string, tokens array<string>")
     bm25.build(docs, "id", "tokens").write(str(tmp_path / "index"))
