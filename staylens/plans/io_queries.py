@@ -77,7 +77,7 @@ def bm25_stored(spark, folder):
     """The lexical search from an index that was written and read again."""
     path = ingest.work_folder(spark)
     search_plans._index(spark, folder).write(path)
-    scores = bm25.score(search_plans._asked(spark, folder), bm25.Index.read(spark, path)).withColumn("bm25", F.round("bm25", 6))
+    scores = bm25.candidates(search_plans._asked(spark, folder), bm25.Index.read(spark, path), 10).withColumn("bm25", F.round("bm25", 6))
     return bm25.top(scores, "query", "bm25", "doc", 10)
 
 

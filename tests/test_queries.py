@@ -9,6 +9,7 @@ import pytest
 from conftest import DATA
 
 import __spark_entry__ as entry_module
+from staylens.operators import bm25
 from staylens.plans import registry
 
 duckdb = pytest.importorskip("duckdb")
@@ -44,6 +45,12 @@ def test_query_matches_its_sql(spark, tables, name):
     assert got == sorted("|".join(plain(r[i]) for i in at) for r in rel.fetchall())
 
 
+@pytest.mark.parametrize("name", ["bm25_topk", "field_weighted_bm25", "bm25_stored"])
+def test_scores_of_all_pairs_stay_in_the_tasks(spark, monkeypatch, name):
+    monkeypatch.setattr(bm25, "score", None)
+    assert registry.QUERIES[name](spark, DATA).count()
+
+
 def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.columns[:3] == ["query", "rank", "source_hotel_id"]
