@@ -75,6 +75,19 @@ def test_candidates_hold_the_best_of_all_scores(spark, monkeypatch, block, many)
     assert few.count() < every.filter("bm25 > 0").count() / 2  # scores of all pairs don't leave the tasks
 
 
+@pytest.mark.parametrize("block, many", [(1000, 1000), (16, 7)])
+def test_groups_are_those_of_all_scores(spark, monkeypatch, block, many):
+    monkeypatch.setattr(bm25, "BLOCK", block), monkeypatch.setattr(bm25, "PASS", many), monkeypatch.setattr(bm25, "STRIPE", 4)
+    docs, asked = _corpus(spark)
+    index = bm25.build(docs, "id", "tokens")
+    about = docs.select(F.col("id").alias("doc"), F.expr("nullif('h' || substr(id, 3), 'h3')").alias("h"))
+    asked = asked.filter("query_id is not null")
+    scored = bm25.max_normalise(bm25.score(asked, index), "query", "bm25").withColumn("bm25", F.round("bm25", 9)).withColumn("hybrid", F.col("bm25")).withColumn("vector", F.lit(0.0))
+    values = ["query", "h", F.round("score", 6), F.round("bm25", 6), "first_doc", "reviews"]
+    got = rows(bm25.grouped(asked, index, about, "h").select(*values))
+    assert got == rows(search.group_hits(scored, about, "h").select(*values)) and max(r[5] for r in got) > 5
+
+
 def test_index_is_written_and_read(spark, tmp_path):
     docs = spark.createDataFrame([("d1", ["a"]), ("d2", ["b"]), ("d3", ["c"])], "id string, tokens array<string>")
     bm25.build(docs, "id", "tokens").write(str(tmp_path / "index"))
