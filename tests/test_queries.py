@@ -45,7 +45,7 @@ def test_query_matches_its_sql(spark, tables, name):
     assert got == sorted("|".join(plain(r[i]) for i in at) for r in rel.fetchall())
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "field_weighted_bm25", "bm25_stored", "bm25_group_rollup"])
+@pytest.mark.parametrize("name", ["bm25_topk", "field_weighted_bm25", "bm25_stored", "bm25_group_rollup", "pool_three", "three_systems"])
 def test_scores_of_all_pairs_stay_in_the_tasks(spark, monkeypatch, name):
     monkeypatch.setattr(bm25, "score", None)
     assert registry.QUERIES[name](spark, DATA).count()
