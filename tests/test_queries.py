@@ -51,6 +51,14 @@ def test_scores_of_all_pairs_stay_in_the_tasks(spark, monkeypatch, name):
     assert registry.QUERIES[name](spark, DATA).count()
 
 
+@pytest.mark.parametrize("name", ["bm25_topk", "field_weighted_bm25", "bm25_stored", "bm25_group_rollup"])
+def test_every_query_is_asked(spark, tables, name):
+    got = {r["query"] for r in registry.QUERIES[name](spark, DATA).select("query").distinct().collect()}
+    terms = "select unnest(tokens) from documents"
+    asked = tables.sql(f"select distinct query_id from (select query_id, unnest(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}_]+')) as t from queries) where t <> '' and t in ({terms})").fetchall()
+    assert len(got) > 1 and got == {r[0] for r in asked}
+
+
 def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.columns[:3] == ["query", "rank", "source_hotel_id"]
