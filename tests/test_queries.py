@@ -59,6 +59,11 @@ def test_every_query_is_asked(spark, tables, name):
     assert len(got) > 1 and got == {r[0] for r in asked}
 
 
+def test_hybrid_search_answers_every_query(spark, tables):
+    got = {r[0] for r in registry.QUERIES["hybrid_search"](spark, DATA).select("query").distinct().collect()}
+    assert got == {r[0] for r in tables.sql("select query_id from queries").fetchall()}
+
+
 def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.columns[:3] == ["query", "rank", "source_hotel_id"]
